@@ -31,33 +31,77 @@ from marketlens.llm import shared
 
 CAPACITY, GRAIN, END_ID = 4096, 32, 2
 #: Words of a worker's token cache; it starts anew beyond that.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
+#: Punctuation that a word-level tokenizer of this family cuts off the end of a word, as one run.
+STOPS = ".,;:!?"
 
 _state: dict = {}
 
 
-def _encoder(path: str):
-    """words -> ids by word, as bytes of little-endian unsigned integers."""
-    if _state.get("path") != path:
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+
+
+class WordEncoder:
+    """Ids of words by one tokenizer; each distinct word, and each stem without its stops, is encoded once."""
+
+    def __init__(self, path: str, width: str):
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tok=Tokenizer.from_file(path), cache={})
-    return _state["tok"], _state["cache"]
+        self.tok, self.width = Tokenizer.from_file(path), width
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def stem(self, text: str) -> bytes:
+        """Ids of letters that the tokenizer keeps together: by its model alone, for Latin letters; else by the whole tokenizer."""
+        got = self.stems.get(text)
+        if got is None:
+            if text.isascii():
+                low = text.lower()
+            elif max(text) < "\u0250" and (low := self.tok.normalizer.normalize_str(text)).isalpha():
+                low = "".join([self.letters[b] for b in low.encode()])
+            else:
+                low = ""
+            got = self.stems[text] = np.array([t.id for t in self.tok.model.tokenize(low)], self.width).tobytes() if low else self.whole(text)
+        return got
+
+    def learn(self, words: set[bytes]) -> None:
+        known, stem, stems = self.words, self.stem, self.stems
+        for raw in words:
+            word = raw.decode()
+            base = word.rstrip(STOPS)
+            if not base.isalpha():
+                known[raw] = self.whole(word)
+            elif base == word:
+                known[raw] = stem(word)
+            else:
+                stops = word[len(base) :]
+                if stops not in stems:
+                    stems[stops] = self.whole(stops)
+                known[raw] = stem(base) + stems[stops]
+
+    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+            self.stems.clear()
+        split = [(t or "").encode().split() for t in texts]
+        self.learn(set().union(*split).difference(self.words))
+        get = self.words.__getitem__
+        return [b"".join(map(get, ws)) + end for ws in split]
 
 
 def encode(texts: list[str | None], path: str, end_id: int = END_ID, width: str = "<u2") -> list[bytes]:
-    """Ids of each text and the end id. White space never lies inside a token of a word-level tokenizer, so each distinct word is encoded once."""
-    tok, cache = _encoder(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    split = [(t or "").encode().split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in cache})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        got = tok.encode_batch([w.decode() for w in part], add_special_tokens=False)
-        cache.update((w, np.array(e.ids, width).tobytes()) for w, e in zip(part, got))
-    end, get = np.array([end_id], width).tobytes(), cache.__getitem__
-    return [b"".join(map(get, ws)) + end for ws in split]
+    """Ids of each text and the end id, as little-endian unsigned integers. White space never lies inside a token of a word-level tokenizer, so words are encoded apart."""
+    if _state.get("key") != (path, width):
+        _state.update(key=(path, width), encoder=WordEncoder(path, width))
+    return _state["encoder"].encode(texts, np.array([end_id], width).tobytes())
 
 
 def _tokenize(path: str, end_id: int, width: str):
