@@ -81,16 +81,11 @@ def _send_probes(size: int, judges: int):
         g.probe()
         p, cuts = group.column("p")[0].as_py(), exchange.judge_cuts(g.probes, judges)
         rows = [(j, p, pack_sorted(g.probes[a:b] >> PROBE_SHIFT), np.packbits(g.repeated[a:b]).tobytes(), np.packbits(g.blocks[a:b]).tobytes()) for j, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        yield _batch(rows, PROBES)
+        yield exchange.batch(rows, PROBES)
 
     return step
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = exchange._arrow(schema)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(kinds))], schema=kinds)
-
-
 def _judge_probes(key: tuple, got: pa.Table) -> pa.Table:
     p = got.column("p").to_pylist()
     parts = [unpack_sorted(x) for x in got.column("hashes").to_pylist()]
@@ -131,7 +126,7 @@ def _send_windows(size: int, judges: int):
                 for j, (a, b) in enumerate(zip(cuts, cuts[1:]))
                 if b > a
             ]
-            yield _batch(rows, WINDOWS)
+            yield exchange.batch(rows, WINDOWS)
 
     return step
 

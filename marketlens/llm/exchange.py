@@ -76,6 +76,11 @@ def _table(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches([b.cast(schema) if b.schema != schema else b for b in batches], schema)
 
 
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = _arrow(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(kinds))], schema=kinds)
+
+
 ANSWERS = "p int, kind int, judge int, bits binary"
 ANSWER_SCHEMA = _arrow(ANSWERS)
 
