@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from marketlens.llm import block_dedup, html_extract, packing, suffix_dedup, topk, toxicity
+from marketlens.llm import block_dedup, html_extract, minhash, packing, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_block_dedup": op3_block_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_top_k": op10_top_k,
 }
