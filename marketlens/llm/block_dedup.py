@@ -94,24 +94,21 @@ def _judge_probes(key: tuple, got: pa.Table) -> pa.Table:
     spread = lambda name: np.concatenate([exchange.flags(b, n) for b, n in zip(got.column(name).to_pylist(), sizes)])
     repeated = np.bincount(which, 1 + spread("repeated"), len(every)) > 1
     blocked = np.bincount(which, spread("blocks"), len(every)) > 0
-    at, out = 0, ([], [], [])
+    at, asked, bits = 0, [], []
     for q, n in zip(p, sizes):
         mine = which[at : at + n]
         at += n
         if repeated[mine].any():
-            for kind, bits in ((0, repeated), (1, blocked)):
-                out[0].append(q)
-                out[1].append(kind)
-                out[2].append(np.packbits(bits[mine]).tobytes())
-    n = len(out[0])
-    return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array(out[2], pa.binary())], schema=exchange.ANSWER_SCHEMA)
+            asked.append(q)
+            bits.append(np.packbits(np.concatenate([repeated[mine], blocked[mine]])).tobytes())
+    return exchange.answer_table(asked, 0, key[0].as_py(), bits)
 
 
 def _extended(group: pa.Table, replies: dict, size: int, judges: int) -> Group:
     g = Group(group, size)
     g.probe()
     cuts = exchange.judge_cuts(g.probes, judges)
-    g.extend(exchange.all_flags(replies, 0, cuts), exchange.all_flags(replies, 1, cuts))
+    g.extend(*exchange.all_flags(replies, 0, cuts, 2))
     return g
 
 
@@ -146,14 +143,14 @@ def _judge_windows(key: tuple, got: pa.Table) -> pa.Table:
     for n in sizes:
         bits.append(np.packbits(earliest[at : at + n]).tobytes())
         at += n
-    return exchange.answer_table(p, 2, key[0].as_py(), bits)
+    return exchange.answer_table(p, 1, key[0].as_py(), bits)
 
 
 def _finish(size: int, judges: int):
     def step(group: pa.Table, replies: dict) -> Iterator[pa.RecordBatch]:
         if replies:
             g = _extended(group, replies, size, judges)
-            kept = exchange.all_flags(replies, 2, exchange.judge_cuts(g.keys, judges))
+            (kept,) = exchange.all_flags(replies, 1, exchange.judge_cuts(g.keys, judges))
             earlier = np.ones(len(g.found), bool)
             earlier[g.first[kept]] = False
             gone = covered(int(g.at[-1]), g.found[earlier], size)

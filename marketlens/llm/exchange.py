@@ -97,7 +97,8 @@ def flags(bits: bytes | None, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
-def all_flags(replies: dict, kind: int, cuts: np.ndarray) -> np.ndarray:
-    """Answers of one kind for a group's sorted hashes."""
-    parts = [flags(replies.get((kind, j)), int(cuts[j + 1] - cuts[j])) for j in range(len(cuts) - 1)]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+def all_flags(replies: dict, kind: int, cuts: np.ndarray, rows: int = 1) -> np.ndarray:
+    """Answers of one kind for a group's sorted hashes: `rows` flags of each, a judge's one after another."""
+    sizes = np.diff(cuts)
+    parts = [flags(replies.get((kind, j)), rows * int(n)).reshape(rows, -1) for j, n in enumerate(sizes) if n]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((rows, 0), bool)

@@ -221,7 +221,7 @@ def _judge_probes(key: tuple, got: pa.Table) -> pa.Table:
 def _sorted_suffixes(group: pa.Table, replies: dict, size: int, gram: int, judges: int) -> Group:
     g = Group(group, size, gram)
     g.blocks()
-    g.suffixes(exchange.all_flags(replies, 0, exchange.judge_cuts(g.probes, judges)))
+    g.suffixes(*exchange.all_flags(replies, 0, exchange.judge_cuts(g.probes, judges)))
     return g
 
 
@@ -322,7 +322,7 @@ def _finish(size: int, gram: int, judges: int):
             g = _sorted_suffixes(group, replies, size, gram, judges)
             cuts = exchange.judge_cuts(g.key_hash, judges)
             first, last, anchor = (x[g.live] for x in (g.first, g.last, g.anchor))
-            full = exchange.all_flags(replies, 2, cuts)[g.block_of]
+            full = exchange.all_flags(replies, 2, cuts)[0, g.block_of]
             marks = [(first[full], last[full])]
             for j in range(judges):
                 if blob := replies.get((3, j)):
