@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 8
+SOLID = r"[^\x20\x09-\x0D]"
 
 
 def _words(line: Column) -> Column:
@@ -43,8 +44,9 @@ def _halves(n: str, words: str) -> str:
 
 def line_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, rid, at, line, check, n, halves) of all lines with words; line and check are hashes of the words."""
-    lines = docs.select("doc_id", "rid", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
-    lines = lines.select("doc_id", "rid", "at", _words(F.col("raw")).alias("w")).filter(F.size("w") > 0)
+    # no filter on words, here or inferred from the generator: it would split each line once more
+    lines = docs.select("doc_id", "rid", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "raw")).filter(F.col("raw").rlike(SOLID))
+    lines = lines.select("doc_id", "rid", "at", _words(F.col("raw")).alias("w"))
     lines = lines.select("doc_id", "rid", "at", F.xxhash64("w").alias("line"), F.hash("w").alias("check"), F.size("w").alias("n"), "w")
     halves = F.when(F.col("n") >= least, F.expr(_halves("n", "w")))
     return lines.select("doc_id", "rid", "at", "line", "check", "n", halves.alias("halves"))
@@ -94,7 +96,7 @@ def remove_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     out = rows.join(gone, ["doc_id", "rid"], "left").withColumn("all", F.split("text", "\n", -1))
     # a line's place is looked up in a map of places, so many removed lines cost no more each
     kept = F.expr("if(gone is null, text, array_join(transform(filter(transform(all, (x, i) -> struct(x as x, i as i)), y -> not map_contains_key(map_from_arrays(gone, gone), y.i)), y -> y.x), '\n'))")
-    lines = F.coalesce(F.size(F.filter("all", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
+    lines = F.coalesce(F.size(F.filter("all", lambda x: x.rlike(SOLID))), F.lit(0))
     out = out.select("doc_id", kept.alias("text"), "rest", lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
     column = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"rest.`{c}`") for c in extra}
     return out.select(*[column[c].alias(c) for c in own], "n_lines", "n_removed")
