@@ -11,8 +11,8 @@ window keeps it. Blocks and probes meet as sorted hashes (see `exchange`).
 
 Defined cases: null and empty texts have no words, and texts shorter than a window
 lose none; a text of one repeated word loses all but the first window's words; rows that
-repeat a doc_id count as documents of their own, in the order of their texts; other
-columns are ignored. A group holds at least one whole document, so a worker's
+repeat a doc_id count as documents of their own, in the order of their texts; rows
+without a doc_id come first; other columns are ignored. A group holds at least one whole document, so a worker's
 memory grows with the longest text.
 """
 
@@ -43,7 +43,7 @@ class Group:
 
     def __init__(self, group: pa.Table, size: int):
         self.size, self.block = size, size // 2
-        self.ids = exchange.column(group, "doc_id").to_numpy()
+        self.ids = exchange.doc_ids(group)
         self.texts = Texts.of(exchange.column(group, "text"))
         self.start, self.end, self.at = self.texts.words()
 
@@ -169,7 +169,7 @@ def _finish(size: int, judges: int):
             else:
                 spans.append([])
             texts.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(g.ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int32()))], schema=exchange._arrow(RESULT))
+        yield pa.RecordBatch.from_arrays([exchange.column(group, "doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int32()))], schema=exchange._arrow(RESULT))
 
     return step
 

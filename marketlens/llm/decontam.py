@@ -10,7 +10,8 @@ items are joined with those of the documents, and around each hit the two are co
 by token at that offset. The items' hashes are broadcast only if a count shows
 that they fit BROADCAST_ROWS, else both sides are shuffled.
 
-Defined cases: null and empty texts and items overlap nothing; items shorter than
+Defined cases: null and empty texts overlap nothing, nor do items without an id;
+documents without an id are reported under null and never dropped; items shorter than
 SPAN tokens can't be told from chance and are left out; repeated items are reported each; rows
 that repeat a doc_id are reported together; of several overlaps of one document and
 item the longest is given, the first of equals; other columns are ignored.

@@ -15,25 +15,41 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import shared
+from marketlens.llm.textops import unpack_sorted
 
 GROUP_BYTES = 2 << 20
 
 
+def number_of_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
+    return max(2 * shared.partitions(docs.sparkSession), math.ceil(shared.text_bytes(docs) / group_bytes))
+
+
+def group_of(doc_id: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(groups)).cast("int")
+
+
 def grouped_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
     """(doc_id, text, p), partitioned by the group p, and the number of judges; null texts are empty."""
     n = shared.partitions(docs.sparkSession)
-    groups = max(2 * n, math.ceil(shared.text_bytes(docs) / group_bytes))
+    groups = number_of_groups(docs, group_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("p", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(groups)).cast("int")).repartition(n, "p"), n
+    return rows.withColumn("p", group_of("doc_id", groups)).repartition(n, "p"), n
 
 
 def in_order(group: pa.Table) -> pa.Table:
-    """A group's rows by doc_id; rows that repeat an id by their text."""
-    return group.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    """A group's rows by doc_id, those without one first; rows that repeat an id by their text."""
+    order = pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+    return group.take(order).combine_chunks()
+
+
+def doc_ids(group: pa.Table) -> np.ndarray:
+    """Ids as numbers that sort as in_order does."""
+    return column(group, "doc_id").fill_null(-(1 << 63)).to_numpy()
 
 
 def column(table: pa.Table, name: str) -> pa.Array:
@@ -90,6 +106,22 @@ def answer_table(p: list[int], kind: int, judge: int, bits: list[bytes]) -> pa.T
     return pa.table([pa.array(p, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([judge] * n, pa.int32()), pa.array(bits, pa.binary())], schema=ANSWER_SCHEMA)
 
 
+#: Distinct hashes of a group, and which of them it has more than once.
+HASHES = "judge int, p int, hashes binary, repeated binary"
+
+
+def judge_repeats(key: tuple, got: pa.Table) -> pa.Table:
+    """Which of each group's hashes occur twice, in the group or in others; no answer where none does."""
+    p = got.column("p").to_pylist()
+    parts = [unpack_sorted(x) for x in got.column("hashes").to_pylist()]
+    every, which = np.unique(np.concatenate(parts), return_inverse=True)
+    twice = np.concatenate([flags(b, len(x)) for b, x in zip(got.column("repeated").to_pylist(), parts)])
+    repeated = (np.bincount(which, 1 + twice, len(every)) > 1)[which]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    found = [(q, np.packbits(repeated[a:b]).tobytes()) for q, a, b in zip(p, at, at[1:]) if repeated[a:b].any()]
+    return answer_table([q for q, _ in found], 0, key[0].as_py(), [b for _, b in found])
+
+
 def flags(bits: bytes | None, n: int) -> np.ndarray:
     """n flags of an answer; no answer means none set."""
     if not bits:

@@ -17,8 +17,8 @@ compared.
 
 Defined cases: a null text has no lines and stays null; lines without words are never
 removed; rows that repeat a doc_id are documents of their own, in the order of a hash of
-their texts, but rows that also repeat the text are one; an empty table gives
-no rows; other columns are kept.
+their texts, but rows that also repeat the text are one; rows without a
+doc_id neither lose lines nor make others lose any; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm import shared
+
 LEAST = 8
 SOLID = r"[^\x20\x09-\x0D]"
 
@@ -54,17 +56,19 @@ def line_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, rid, gone array<int>): the places of the lines that go, of documents that lose any. docs: doc_id, rid, text."""
-    lines = line_table(docs, least)
+    lines = shared.staged(line_table(docs, least), "lines")  # the only step that takes all lines apart
     first = F.min(F.struct("doc_id", "rid", "at")).alias("first")
-    distinct = lines.groupBy("line", "check").agg(first, F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves"))
+    distinct = shared.staged(lines.groupBy("line", "check").agg(first, F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves")), "distinct")
 
-    keys = distinct.filter("halves is not null").select("line", "check", "first", F.explode("halves").alias("half"))
+    keys = distinct.filter("halves is not null").select("line", "check", F.explode("halves").alias("half"))
     shared_halves = keys.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    live = keys.join(shared_halves, "half").groupBy("line", "check").agg(F.first("first").alias("first"))
+    live = keys.join(shared_halves, "half").select("line", "check").distinct().join(distinct.select("line", "check", "first"), ["line", "check"])
 
     wanted = live.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "line", "check", "first")).alias("lines"))
     texts = docs.join(wanted, ["doc_id", "rid"]).select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("x"))
-    texts = texts.select("x.line", "x.check", "x.first", _words(F.expr("all[x.at]")).alias("w"))
+    texts = shared.staged(texts.select("x.line", "x.check", "x.first", _words(F.expr("all[x.at]")).alias("w")), "texts")
+    del keys, shared_halves, live, wanted
+    shared.release(docs.sparkSession)
 
     left_out = "transform(sequence(1, size(w)), i -> struct(i as place, xxhash64(concat(slice(w, 1, i - 1), slice(w, i + 1, size(w)))) as key))"
     variants = texts.select("line", "check", "first", F.explode(F.expr(f"concat(array(struct(0 as place, xxhash64(w) as key)), {left_out})")).alias("v")).select("line", "check", "first", "v.place", "v.key")
@@ -82,7 +86,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     known = distinct.select("line", "check", "first", "times").join(near, ["line", "check"], "left").filter("times > 1 or near")
     gone = lines.select("doc_id", "rid", "at", "line", "check").join(known, ["line", "check"]).filter("near or first <> struct(doc_id, rid, at)")
-    return gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    return shared.staged(gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list("at")).alias("gone")), "gone")
 
 
 def remove_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -13,7 +13,7 @@ scored by the models of the other fold, so no document is scored by its own coun
 Defined cases: a null, empty or word-less text has no tokens and scores 0 in all
 columns; labels that are null or contradict each other mark no target; without a
 target the models are equal and each difference is the models' smoothing alone;
-rows that repeat a doc_id are counted and scored each; other columns are ignored.
+rows that repeat a doc_id, or have none, are counted and scored each; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,15 +9,20 @@ probability 0.15, so about 14.4 of 96 do; more than THRESHOLD = 31 in about one
 10^5 such pairs and fewer for closer ones. Candidates under the threshold are
 confirmed on their full shingle sets.
 
-Documents of equal shingle sets are one class. In a bucket, members are compared
-with one hub first; links make components, and only pairs of different components
-remain to be compared, by other hubs while there are many, then all. So a group of
-copies costs a comparison a member, and no link is left out that joins components.
-Sets move only with a hub, once for each group of documents that holds a partner.
+Documents of equal shingle sets are one class, and classes without a key in common
+with another are done. Of the rest, the shingles that no other of them has are
+counted: a pair shares at most the smaller number of remaining shingles, which
+rules out most pairs of copies that were edited apart. In a bucket, the member with
+the smallest share of such shingles is the hub, and members are compared with it
+first; links make components, and only pairs of different components remain to
+be compared, by other hubs while there are many, then all. So a group of copies
+costs about a comparison a member, and no link is left out that joins components. Sets
+move only with a hub, once for each group of documents that holds a partner.
 
 Defined cases: null, empty and word-less texts have an empty set and link to nothing;
 a text of fewer words than a shingle is one shingle; rows that repeat a doc_id are
-judged each by its text and share the id; an empty table gives no rows; other
+judged each by its text and share the id; rows without a doc_id link to nothing, have no
+component_id and are kept; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -41,6 +46,7 @@ BATCH_BYTES = 1 << 20
 #: Remaining pairs, for each class, up to which all are compared rather than hubs once more.
 MANY = 8
 _U = np.uint64
+SHIFT = _U(18)
 FACTORS = mix(np.arange(1000, 1000 + POSITIONS, dtype=np.uint64)) | _U(1)
 
 
@@ -118,6 +124,9 @@ def _unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+KEYS = "judge int, keys binary, places binary, nodes binary, groups binary, sizes binary, known binary"
+
+
 def _send_keys(judges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,62 +137,129 @@ def _send_keys(judges: int):
                 key, which = keys.ravel(), np.repeat(np.arange(len(sig)), keys.shape[1])
                 order = np.argsort(key, kind="stable")
                 key, which = key[order], which[order]
-                node, group = (part.column(c).to_numpy() for c in ("node", "component"))
+                about = [part.column(c).to_numpy() for c in ("node", "component", "n", "known")]
                 cuts = exchange.judge_cuts(key, judges)
                 # members as places in a list that goes along: a judge gets only some keys of each
                 rows = []
                 for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     if b > a:
                         used, place = np.unique(which[a:b], return_inverse=True)
-                        rows.append((j, pack_sorted(key[a:b]), place.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), _planes(node[used]), _planes(group[used])))
-                yield exchange.batch(rows, "judge int, keys binary, places binary, nodes binary, groups binary")
+                        rows.append((j, pack_sorted(key[a:b]), place.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), *(_planes(x[used]) for x in about)))
+                yield exchange.batch(rows, KEYS)
 
     return run
 
 
-def _pairs(mode: str, seed: int):
-    """Of one judge's buckets, "hub": pairs of a hub and members of other components; "all": all pairs of different components; "count": their number."""
+class Buckets:
+    """A judge's keys with the members of each, hubs first; members alone with their key are left out."""
 
-    def judge(key: tuple, got: pa.Table) -> pa.Table:
-        keys, nodes, groups = [], [], []
-        for k, places, n, g in zip(*(got.column(c).to_pylist() for c in ("keys", "places", "nodes", "groups"))):
+    def __init__(self, got: pa.Table, seed: int):
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for k, places, *about in zip(*(got.column(c).to_pylist() for c in ("keys", "places", "nodes", "groups", "sizes", "known"))):
             place = np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(2, -1).T).view("<u2").ravel()
-            keys.append(unpack_sorted(k))
-            nodes.append(_unplanes(n)[place])
-            groups.append(_unplanes(g)[place])
-        keys, nodes, groups = (np.concatenate(x) for x in (keys, nodes, groups))
-        # the hub is first in its bucket: the smallest by a hash that a seed changes
-        rank = mix(nodes.view(np.uint64) + _U(seed) * (keys if seed else _U(1)))
-        order = np.lexsort((rank, keys))
-        keys, nodes, groups = keys[order], nodes[order], groups[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        bucket = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        other = groups != groups[first[bucket]]
+            for to, x in zip(parts, [unpack_sorted(k), *(_unplanes(x)[place] for x in about)]):
+                to.append(x)
+        keys, *about = (np.concatenate(x) for x in parts)
+        _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        pick = np.flatnonzero(count[which] > 1)
+        keys, (nodes, groups, sizes, known) = keys[pick], (x[pick] for x in about)
+        # the first is the member that shares most with others, or by a hash that a seed changes
+        own = (sizes - known) * 1000 // np.maximum(sizes, 1) if not seed else np.zeros(len(nodes), np.int64)
+        order = np.lexsort((mix(nodes.view(np.uint64) + _U(seed) * keys), own, keys))
+        self.keys, self.nodes, self.groups, self.sizes, self.known = (x[order] for x in (keys, nodes, groups, sizes, known))
+        self.first = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.bucket = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.keys))))
+
+    def possible(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Pairs that may be similar enough, by their sizes and the shingles that they can share."""
+        most = np.minimum(self.known[a], self.known[b])
+        return (100 + percent) * most >= percent * (self.sizes[a] + self.sizes[b])
+
+
+def _members(key: tuple, got: pa.Table) -> pa.Table:
+    return pa.table([pa.array(np.unique(Buckets(got, 0).nodes), pa.int64())], names=["node"])
+
+
+def _pairs(mode: str, seed: int, percent: int):
+    """Of one judge's buckets, "hub": pairs of a hub and members of other components; "all": all pairs of different components; "count": how many members have other components beside them that they may be similar to, times these."""
+
+    def judge(key: tuple, got: pa.Table) -> pa.Table:
+        x = Buckets(got, seed)
+        hub = x.first[x.bucket]
+        found = [np.zeros((0, 2), np.int64)]
+        total = 0
         if mode == "hub":
-            at = np.flatnonzero(other)
-            pairs = np.stack([nodes[first[bucket[at]]], nodes[at]], 1)
+            at = np.flatnonzero(x.groups != x.groups[hub])
+            at = at[x.possible(hub[at], at, percent)]
+            found.append(np.stack([x.nodes[hub[at]], x.nodes[at]], 1))
         else:
-            found, total = [np.zeros((0, 2), np.int64)], 0
-            ends = np.append(first[1:], len(keys))
-            for b in np.unique(bucket[other]):
-                g, n = groups[first[b] : ends[b]], nodes[first[b] : ends[b]]
-                if mode == "count":
-                    c = np.unique(g, return_counts=True)[1].astype(float)
-                    total += (c.sum() ** 2 - (c * c).sum()) / 2
+            # a member that has too many shingles of its own is similar to nothing
+            alive = np.flatnonzero(100 * x.known >= percent * x.sizes)
+            order = alive[np.lexsort((x.sizes[alive], x.bucket[alive]))]
+            begin = np.flatnonzero(np.concatenate([[True], x.bucket[order][1:] != x.bucket[order][:-1]])) if len(order) else []
+            for lo, hi in zip(begin, [*begin[1:], len(order)]):
+                mine = order[lo:hi]
+                if len(mine) < 2 or (x.groups[mine] == x.groups[mine[0]]).all():
                     continue
-                for i in range(len(n) - 1):
-                    mates = n[i + 1 :][g[i + 1 :] != g[i]]
-                    found.append(np.stack([np.full(len(mates), n[i]), mates], 1))
+                # partners by size: no larger than what is left of a member's shingles allows
+                sizes = x.sizes[mine]
+                end = np.searchsorted(sizes, np.minimum(100 * sizes // percent, (100 + percent) * x.known[mine] // percent - sizes), "right")
+                for i in range(len(mine) - 1):
+                    mates = mine[i + 1 : end[i]]
+                    mates = mates[x.groups[mates] != x.groups[mine[i]]]
+                    mates = mates[x.possible(np.full(len(mates), mine[i]), mates, percent)]
+                    total += len(mates)
+                    if mode == "all" and len(mates):
+                        found.append(np.stack([np.full(len(mates), x.nodes[mine[i]]), x.nodes[mates]], 1))
             if mode == "count":
-                return pa.table([pa.array([int(total)], pa.int64()), pa.array([0], pa.int64())], names=["a", "b"])
-            pairs = np.concatenate(found)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                return pa.table([pa.array([total], pa.int64()), pa.array([0], pa.int64())], names=["a", "b"])
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
     return judge
 
 
+ASKED = exchange.ANSWERS + ", docs array<long>"
+
+
+def known_shingles(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, known): the shingles of each class (node, doc) that another of these classes has too."""
+    groups, judges = exchange.grouped_documents(docs)
+    n = exchange.number_of_groups(docs)
+    asked = classes.groupBy(exchange.group_of("doc", n).alias("p")).agg(F.collect_list("doc").alias("docs"))
+    asked = asked.select("p", F.lit(9).alias("kind"), F.lit(0).alias("judge"), F.lit(None).cast("binary").alias("bits"), "docs")
+
+    def prepared(group: pa.Table, wanted: list[int]) -> tuple:
+        sets = sorted(_wanted(group, set(wanted), words).items())
+        values = np.concatenate([x for _, x in sets]) if sets else np.zeros(0, np.uint64)
+        hashes, which, count = np.unique(values >> SHIFT << SHIFT, return_inverse=True, return_counts=True)
+        return sets, hashes, which, count
+
+    def send(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
+        rows = []
+        if group.num_rows and told.num_rows:
+            _, hashes, _, count = prepared(group, told.column("docs")[0].as_py())
+            cuts = exchange.judge_cuts(hashes, judges)
+            rows = [(j, key[0].as_py(), pack_sorted(hashes[a:b] >> SHIFT), np.packbits(count[a:b] > 1).tobytes()) for j, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return pa.Table.from_batches([exchange.batch(rows, exchange.HASHES)])
+
+    def count(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
+        names, known = [], []
+        docs = [x for x in told.column("docs").to_pylist() if x]
+        if group.num_rows and docs:
+            sets, hashes, which, _ = prepared(group, docs[0])
+            replies = {(k, j): b for k, j, b in zip(*(told.column(c).to_pylist() for c in ("kind", "judge", "bits")))}
+            sums = np.concatenate([[0], np.cumsum(exchange.all_flags(replies, 0, exchange.judge_cuts(hashes, judges))[0][which])])
+            at = np.concatenate([[0], np.cumsum([len(x) for _, x in sets])]).astype(int)
+            names, known = [k for k, _ in sets], (sums[at[1:]] - sums[at[:-1]]).tolist()
+        return pa.table([pa.array(names, pa.int64()), pa.array(known, pa.int64())], names=["node", "known"])
+
+    by_group = groups.groupBy("p")
+    sent = by_group.cogroup(asked.groupBy("p")).applyInArrow(send, exchange.HASHES)
+    answers = sent.groupBy("judge").applyInArrow(exchange.judge_repeats, exchange.ANSWERS).withColumn("docs", F.lit(None).cast("array<long>"))
+    return by_group.cogroup(asked.unionByName(answers).groupBy("p")).applyInArrow(count, "node long, known long")
+
+
 def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,8 +318,8 @@ def _confirm(words: int, percent: int):
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those (a, b) of (a, b, a_doc, b_doc) whose full sets are similar enough."""
     groups, _ = exchange.grouped_documents(docs)
-    n_groups = max(2 * shared.partitions(docs.sparkSession), -(-shared.text_bytes(docs) // exchange.GROUP_BYTES))
-    place = lambda c: F.pmod(F.xxhash64(F.lit(11), F.col(c)), F.lit(n_groups)).cast("int")
+    n = exchange.number_of_groups(docs)
+    place = lambda c: exchange.group_of(c, n)
     asked = pairs.groupBy(place("a_doc").alias("p"), place("b_doc").alias("to"), "a", "a_doc").agg(F.collect_list(F.struct("b", "b_doc")).alias("mates"))
     asked = asked.select("p", "to", "a", "a_doc", F.col("mates.b").alias("nodes"), F.col("mates.b_doc").alias("docs"))
     hubs = groups.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_send_hubs(words), HUBS)
@@ -256,13 +332,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         raise ValueError("the signatures are laid out for similarities of 0.8 and more")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = shared.staged(rows.mapInArrow(_sign(words), "doc_id long, n long, node long, sig binary"), "signatures")
-    classes = shared.staged(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = shared.staged(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     judges = shared.partitions(docs.sparkSession)
-    n_classes = classes.count()
 
-    def bucketed(named: DataFrame, mode: str, seed: int) -> DataFrame:
-        sent = named.mapInArrow(_send_keys(judges), "judge int, keys binary, places binary, nodes binary, groups binary")
-        return sent.groupBy("judge").applyInArrow(_pairs(mode, seed), "a long, b long")
+    def bucketed(named: DataFrame, judge, schema: str) -> DataFrame:
+        return named.mapInArrow(_send_keys(judges), KEYS).groupBy("judge").applyInArrow(judge, schema)
 
     def compared(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
@@ -271,16 +345,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         near = shared.staged(near, "near")
         return shared.staged(confirmed(rows, near, words, percent) if not near.isEmpty() else near.select("a", "b"), "links")
 
-    tested = shared.staged(bucketed(classes.withColumn("component", F.col("node")), "hub", 0).distinct(), "tested")
-    links = compared(tested)
-    for seed in range(1, 9):
-        named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    pair = "a long, b long"
+    members = bucketed(classes.withColumn("component", F.col("node")).withColumn("known", F.col("n")), _members, "node long").distinct()
+    live = shared.staged(classes.join(members, "node"), "members")
+    n_live = live.count()
+    if n_live:
+        live = shared.staged(live.join(known_shingles(rows, live, words), "node").withColumn("component", F.col("node")), "members")
+    tested = shared.staged(bucketed(live, _pairs("hub", 0, percent), pair).distinct(), "tested") if n_live else live.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    links = compared(tested) if n_live else tested
+    for seed in range(1, 9) if n_live else ():
+        named = live.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = shared.staged(named, "named")
-        left = bucketed(named, "count", 0).agg(F.sum("a")).first()[0] or 0
+        left = bucketed(named, _pairs("count", 0, percent), pair).agg(F.sum("a")).first()[0] or 0
         if not left:
             break
-        every = left <= MANY * max(n_classes, 10_000) or seed == 8
-        new = shared.staged(bucketed(named, "all" if every else "hub", seed).distinct().join(tested, ["a", "b"], "left_anti"), "tested")
+        every = left <= MANY * max(n_live, 10_000) or seed == 8
+        new = shared.staged(bucketed(named, _pairs("all" if every else "hub", seed, percent), pair).distinct().join(tested, ["a", "b"], "left_anti"), "tested")
         if new.isEmpty() and every:
             break
         links = links.unionByName(compared(new))
@@ -291,4 +371,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     least = found.groupBy("component").agg(F.min("doc").alias("component_id"))
     names = shared.staged(found.join(least, "component").select("node", "component_id"), "names")
     out = signed.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

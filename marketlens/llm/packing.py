@@ -13,7 +13,7 @@ over, is laid end to end and cut at every `capacity`, so no sequence is padded;
 the last run of that is cut into powers of two.
 
 Defined cases: a null or empty text has the end id only; rows that repeat a
-doc_id are packed as documents of their own; an empty table gives no pieces;
+doc_id, or have none, are packed as documents of their own; an empty table gives no pieces;
 columns besides doc_id and text are ignored.
 """
 

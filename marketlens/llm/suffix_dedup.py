@@ -15,7 +15,7 @@ another suffix shares d bytes on the left and size - d on the right.
 
 Defined cases: null and empty texts have no bytes; texts shorter than `size` lose
 none, and matches never cross texts; strings may overlap their own copies; rows
-that repeat a doc_id are documents of their own; what is left may be cut within a
+that repeat a doc_id, or have none, are documents of their own; what is left may be cut within a
 character and so is binary; other columns are ignored. A group holds at
 least one whole document, so a worker's memory grows with the longest text.
 """
@@ -31,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import exchange
-from marketlens.llm.textops import BASE, IMAGE, Texts, covered, mix, pack_numbers, pack_sorted, powers, span_hashes, unpack_numbers, unpack_sorted, windows
+from marketlens.llm.textops import BASE, IMAGE, Texts, covered, mix, pack_numbers, pack_sorted, powers, span_hashes, unpack_numbers, windows
 
 SIZE, GRAM = 200, 64
 PROBE_SHIFT = np.uint64(18)
-PROBES = "judge int, p int, hashes binary, repeated binary"
 RUNS = "judge int, p int, n int, right binary, left binary, order binary, twice binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, removed array<long>"
 
@@ -69,7 +68,7 @@ class Group:
 
     def __init__(self, group: pa.Table, size: int, gram: int):
         self.size, self.gram = size, gram
-        self.ids = exchange.column(group, "doc_id").to_numpy()
+        self.ids = exchange.doc_ids(group)
         self.texts = Texts.of(exchange.column(group, "text"))
 
     def blocks(self) -> None:
@@ -83,7 +82,8 @@ class Group:
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (where[1:] != where[:-1] + 1)])) if len(where) else np.zeros(0, np.int64)
         self.first, self.anchor = where[new], anchor[new]
         self.last = where[np.concatenate([new[1:], [len(where)]]) - 1] if len(new) else new
-        self.hash = h[self.anchor] >> PROBE_SHIFT << PROBE_SHIFT
+        # an anchor has the smallest hash of many, so another one deals the anchors evenly to judges
+        self.hash = mix(h[self.anchor]) >> PROBE_SHIFT << PROBE_SHIFT
         self.probes, self.probe_of, count = np.unique(self.hash, return_inverse=True, return_counts=True)
         self.repeated = count > 1
 
@@ -202,22 +202,11 @@ def _send_probes(size: int, gram: int, judges: int):
         g.blocks()
         p, cuts = group.column("p")[0].as_py(), exchange.judge_cuts(g.probes, judges)
         rows = [(j, p, pack_sorted(g.probes[a:b] >> PROBE_SHIFT), np.packbits(g.repeated[a:b]).tobytes()) for j, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        yield exchange.batch(rows, PROBES)
+        yield exchange.batch(rows, exchange.HASHES)
 
     return step
 
 
-def _judge_probes(key: tuple, got: pa.Table) -> pa.Table:
-    p = got.column("p").to_pylist()
-    parts = [unpack_sorted(x) for x in got.column("hashes").to_pylist()]
-    every, which = np.unique(np.concatenate(parts), return_inverse=True)
-    twice = np.concatenate([exchange.flags(b, len(x)) for b, x in zip(got.column("repeated").to_pylist(), parts)])
-    repeated = (np.bincount(which, 1 + twice, len(every)) > 1)[which]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-    found = [(q, np.packbits(repeated[a:b]).tobytes()) for q, a, b in zip(p, at, at[1:]) if repeated[a:b].any()]
-    return exchange.answer_table([q for q, _ in found], 0, key[0].as_py(), [b for _, b in found])
-
-
 def _sorted_suffixes(group: pa.Table, replies: dict, size: int, gram: int, judges: int) -> Group:
     g = Group(group, size, gram)
     g.blocks()
@@ -344,7 +333,7 @@ def _finish(size: int, gram: int, judges: int):
             kept.append(t.data[a:b][~mine].tobytes() if len(edges) else t.data[a:b].tobytes())
             spans.append(edges.tolist())
             n_gone.append(int(mine.sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(g.ids, pa.int64()), pa.array(np.diff(t.at), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.int64()))], schema=exchange._arrow(RESULT))
+        yield pa.RecordBatch.from_arrays([exchange.column(group, "doc_id"), pa.array(np.diff(t.at), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.int64()))], schema=exchange._arrow(RESULT))
 
     return step
 
@@ -354,8 +343,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     if not 8 <= gram < size:
         raise ValueError("an anchor's bytes are fewer than a string's, and eight at least")
     groups, judges = exchange.grouped_documents(docs)
-    probes = exchange.visit(groups, _send_probes(size, gram, judges), PROBES)
-    live = probes.groupBy("judge").applyInArrow(_judge_probes, exchange.ANSWERS)
+    probes = exchange.visit(groups, _send_probes(size, gram, judges), exchange.HASHES)
+    live = probes.groupBy("judge").applyInArrow(exchange.judge_repeats, exchange.ANSWERS)
     runs = exchange.visit(groups, _send_runs(size, gram, judges), RUNS, live)
     repeats = runs.groupBy("judge").applyInArrow(_judge_runs(size, gram), exchange.ANSWERS)
     return exchange.visit(groups, _finish(size, gram, judges), RESULT, live.unionByName(repeats))

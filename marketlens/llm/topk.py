@@ -12,7 +12,7 @@ Candidates are dealt in blocks, queries in blocks of `QUERY_BLOCK`; a pair of
 blocks is the unit of work. Query blocks are broadcast only if their measured
 size is within `BROADCAST_BYTES`, else they are joined by a shuffle.
 
-Defined cases: a vector that is null, or has a null or non-finite component,
+Defined cases: a vector that is null, has no vec_id, or has a null or non-finite component,
 takes no part; missing components of a shorter vector count as 0; equal scores
 rank by vec_id; a candidate with the query's own vec_id is left out, so rows that
 repeat a vec_id are one query and, to others, candidates of their own; a table
@@ -36,7 +36,7 @@ SLACK = 1e-9
 
 def integer_vectors(table: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v array<bigint>): floor(scale * component) of the vectors that take part."""
-    good = "embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    good = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     return table.filter(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(embedding, x -> floor({scale}D * cast(x as double)))").alias("v"))
 
 

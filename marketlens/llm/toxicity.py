@@ -10,7 +10,8 @@ document's logit is the mean of its words' numbers: scoring is a scan.
 
 Defined cases: a null or empty text has no words and gets the score of the bias
 alone; labels that are null or not 0 or 1 are not learned from; an id with several
-labels that differ is not learned from; with no labels every score is 0.5; rows
+labels that differ is not learned from; rows without an id are scored, not held out and not
+learned from; with no labels every score is 0.5; rows
 that repeat an id are scored each; other columns are ignored.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,17 +48,17 @@ def subwords(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(marked) or b"", np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     end = np.cumsum(size)
-    owner = np.repeat(np.arange(len(marked)), size)
-    left = np.repeat(end, size) - np.arange(len(data))
-    ids = [np.fromiter(map(zlib.crc32, marked), np.int64, len(marked)) % BUCKETS]
-    owners = [np.arange(len(marked))]
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), size)
+    left = (np.repeat(end, size) - np.arange(len(data))).astype(np.int32)
+    ids = [(np.fromiter(map(zlib.crc32, marked), np.int64, len(marked)) % BUCKETS).astype(np.int32)]
+    owners = [np.arange(len(marked), dtype=np.int32)]
     for n in GRAMS:
         at = np.flatnonzero(left >= n)
         h = np.full(len(at), n, np.uint64)
         for j in range(n):
             h = (h + data[at + j]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        ids.append((h >> np.uint64(20)).astype(np.int64) % BUCKETS)
+        ids.append(((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32))
         owners.append(owner[at])
     owners, ids = np.concatenate(owners), np.concatenate(ids)
     order = np.argsort(owners, kind="stable")
@@ -80,20 +82,22 @@ def _segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """(one number a bucket, bias): the trained layers, multiplied out for class 1 against class 0."""
     y = np.array(labels, float)
-    bags = [Counter(map(core, words(t))) for t in texts]
-    spread = Counter(w for bag in bags for w in bag)
+    spread = Counter(w for t in texts for w in set(map(core, words(t))))
     vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in spread.items() if n >= LEAST_DOCUMENTS))}
-    doc_at, word_of, weight = [0], [], []
-    for bag in bags:
+    del spread
+    doc_at, word_of, weight = [0], array("i"), array("f")
+    for text in texts:  # one bag of words at a time: all of them would not fit a small driver
+        bag = Counter(map(core, words(text)))
         total = sum(bag.values())
         for w, c in bag.items():
             if w in vocabulary:
                 word_of.append(vocabulary[w])
                 weight.append(c / total)
         doc_at.append(len(word_of))
-    word_of, weight, doc_at = np.array(word_of, np.int32), np.array(weight), np.array(doc_at)
+    word_of, weight, doc_at = np.array(word_of, np.int32), np.array(weight, np.float32), np.array(doc_at)
     doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(doc_at))
     grams, gram_at = subwords(list(vocabulary))
+    grams = grams.astype(np.int32)
     word_of_gram = np.repeat(np.arange(len(vocabulary), dtype=np.int32), np.diff(gram_at))
     share = 1 / np.maximum(np.diff(gram_at), 1)
 
@@ -102,7 +106,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np
     used = np.unique(grams)
     layer = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2)
-    position = np.searchsorted(used, grams)
+    position = np.searchsorted(used, grams).astype(np.int32)
+    del grams
     e = table[used]
     state = [np.zeros_like(x) for x in (e, e, layer, layer, bias, bias)]
     onehot = np.stack([1 - y, y], 1)
@@ -194,4 +199,4 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels)
     out = score(docs.select("doc_id", "text"), model, ["doc_id"])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
