@@ -22,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.shared import partitions
 from marketlens.llm.textops import BASE, IMAGE, LOWER, WORD_BASE, Texts, chunks, span_hashes
 
 UNIGRAMS, BIGRAMS = 1 << 17, 1 << 20
-COUNTS = ("background_0", "target_0", "background_1", "target_1")
+BLOCK = 1 << 14
 PRIOR = 2.0
 BATCH_BYTES = 2 << 20
 _U = np.uint64
@@ -55,7 +57,7 @@ def fold_of(doc_id: str = "doc_id") -> Column:
 
 
 def _count(unigrams: int, bigrams: int):
-    """Of a partition: (slot, counts of background and target in the first fold and in the second) of the slots it meets; pairs after words."""
+    """Of a partition: counts of background and target in the first fold and in the second, by slot, words before pairs; a row a block of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, unigrams + bigrams), np.int64)
@@ -71,31 +73,37 @@ def _count(unigrams: int, bigrams: int):
                     total[row, :unigrams] += np.bincount(word[pick], minlength=unigrams)
                     total[row, unigrams:] += np.bincount(pair[pick], minlength=bigrams)
                     total[row, 0] += int(((n > 0) & docs).sum())
-        met = np.flatnonzero(total.any(0))
-        for at in range(0, len(met), 100_000):
-            k = met[at : at + 100_000]
-            yield pa.record_batch([pa.array(k.astype(np.int32)), *(pa.array(total[row, k]) for row in range(4))], names=["slot", *COUNTS])
+        pack = zstandard.ZstdCompressor(level=1)
+        for block, at in enumerate(range(0, unigrams + bigrams, BLOCK)):
+            part = np.ascontiguousarray(total[:, at : at + BLOCK])
+            if part.any():  # planes of bytes: the high ones are zeros
+                planes = part.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([pack.compress(planes)], pa.binary())], names=["block", "counts"])
 
     return run
 
 
-def fit(docs: DataFrame, unigrams: int = UNIGRAMS, bigrams: int = BIGRAMS) -> np.ndarray:
-    """Counts by fold, model and slot; docs: doc_id, text and target (boolean). The driver gets at most unigrams + bigrams rows, in blocks."""
-    marked = docs.select(F.col("text").cast("string").alias("text"), F.coalesce("target", F.lit(False)).alias("target"), fold_of().alias("fold"))
-    counts = marked.mapInArrow(_count(unigrams, bigrams), "slot int, " + ", ".join(f"{c} long" for c in COUNTS))
-    summed = counts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in COUNTS])
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of blocks as they come in: a task holds its few blocks, not the rows that it reads."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint8).reshape(8, -1)
+            part = np.ascontiguousarray(planes.T).view("<i8").reshape(4, -1)
+            held[block] = held[block] + part if block in held else part
+    for block, part in held.items():
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                blobs = [b.column(i).to_numpy().astype("<i4" if i == 0 else "<f4").tobytes() for i in range(5)]
-                yield pa.record_batch([pa.array([x]) for x in blobs], names=["slot", *COUNTS])
 
+def fit(docs: DataFrame, unigrams: int = UNIGRAMS, bigrams: int = BIGRAMS) -> np.ndarray:
+    """Counts by fold, model and slot; docs: doc_id, text and target (boolean). The driver gets unigrams + bigrams slots, in blocks."""
+    marked = docs.select(F.col("text").cast("string").alias("text"), F.coalesce("target", F.lit(False)).alias("target"), fold_of().alias("fold"))
+    parts = marked.mapInArrow(_count(unigrams, bigrams), "block int, counts binary")
+    summed = parts.repartition(partitions(docs.sparkSession), "block").mapInArrow(_sum, "block int, counts binary")
     total = np.zeros((4, unigrams + bigrams), np.float32)
-    for row in summed.mapInArrow(pack, "slot binary, " + ", ".join(f"{c} binary" for c in COUNTS)).toLocalIterator():
-        slot = np.frombuffer(row.slot, "<i4")
-        for k, c in enumerate(COUNTS):
-            total[k, slot] = np.frombuffer(row[c], "<f4")
+    for row in summed.toLocalIterator():
+        at = row.block * BLOCK
+        total[:, at : at + BLOCK] = np.frombuffer(row.counts, "<i8").reshape(4, -1)
     return total.reshape(2, 2, -1)
 
 
@@ -140,5 +148,6 @@ def score(docs: DataFrame, counts: np.ndarray, unigrams: int = UNIGRAMS) -> Data
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
     """Scores of all documents; the target are those whose label is 1."""
     good = labels.filter(f"{column} is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.min(column) == 1).alias("target"))
-    marked = docs.select("doc_id", "text").join(good, docs["doc_id"] == good["_id"], "left")
+    # labels grow with the corpus: one shuffle of the texts at every size, not a broadcast of the labels
+    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), docs["doc_id"] == good["_id"], "left")
     return score(docs, fit(marked))
