@@ -39,7 +39,7 @@ def _seeds(table: DataFrame) -> DataFrame:
     n = f"greatest(size(tokens) - {SPAN - 1}, 0)"
     shifted = [F.expr(f"slice(tokens, {j + 1}, {n})").alias(f"t{j}") for j in range(SPAN)]
     at = F.expr(f"if(size(tokens) < {SPAN}, array(), sequence(0, size(tokens) - {SPAN}))").alias("at")
-    rows = table.select("*", F.arrays_zip(at, *shifted).alias("z")).select(*table.columns, F.inline_outer("z"))
+    rows = table.select("*", F.arrays_zip(at, *shifted).alias("z")).select(*table.columns, F.inline_outer("z")).filter("at is not null")
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"t{j}") for j in mask]) for k, mask in enumerate(MASKS)])
     return rows.select(*table.columns, "at", F.explode(keys).alias("key"))
 
