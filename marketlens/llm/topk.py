@@ -135,6 +135,7 @@ def top_k(table: DataFrame, every: int = 100, k: int = 10, pivots: int = PIVOTS)
     empty = "query_id long, rank int, vec_id long, score long"
     if width is None:
         return table.sparkSession.createDataFrame([], empty)
+    width = max(width, 1)
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # a fixed number of rows
     pivot = np.zeros((len(chosen), width), np.int64)
     for row, x in zip(pivot, chosen):
