@@ -33,10 +33,10 @@ def group_of(doc_id: str, groups: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(groups)).cast("int")
 
 
-def grouped_documents(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, p), partitioned by the group p, and the number of judges; null texts are empty."""
+def grouped_documents(docs: DataFrame, groups: int | None = None) -> tuple[DataFrame, int]:
+    """(doc_id, text, p), partitioned by the group p, and the number of judges; null texts are empty. groups: their number, if it is known."""
     n = shared.partitions(docs.sparkSession)
-    groups = number_of_groups(docs, group_bytes)
+    groups = groups or number_of_groups(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("p", group_of("doc_id", groups)).repartition(n, "p"), n
 

@@ -43,8 +43,8 @@ WORDS, PERCENT = 5, 85
 POSITIONS, CHUNK, ERRORS = 96, 6, 1
 THRESHOLD = POSITIONS // CHUNK * (ERRORS + 1) - 1
 BATCH_BYTES = 1 << 20
-#: Remaining pairs, for each class, up to which all are compared rather than hubs once more.
-MANY = 8
+#: Remaining pairs, for each member and once for each key that they share, up to which all are compared rather than hubs once more.
+MANY = 200
 _U = np.uint64
 SHIFT = _U(18)
 FACTORS = mix(np.arange(1000, 1000 + POSITIONS, dtype=np.uint64)) | _U(1)
@@ -222,10 +222,9 @@ def _pairs(mode: str, seed: int, percent: int):
 ASKED = exchange.ANSWERS + ", docs array<long>"
 
 
-def known_shingles(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+def known_shingles(docs: DataFrame, n: int, classes: DataFrame, words: int) -> DataFrame:
     """(node, known): the shingles of each class (node, doc) that another of these classes has too."""
-    groups, judges = exchange.grouped_documents(docs)
-    n = exchange.number_of_groups(docs)
+    groups, judges = exchange.grouped_documents(docs, n)
     asked = classes.groupBy(exchange.group_of("doc", n).alias("p")).agg(F.collect_list("doc").alias("docs"))
     asked = asked.select("p", F.lit(9).alias("kind"), F.lit(0).alias("judge"), F.lit(None).cast("binary").alias("bits"), "docs")
 
@@ -315,10 +314,9 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, n: int, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those (a, b) of (a, b, a_doc, b_doc) whose full sets are similar enough."""
-    groups, _ = exchange.grouped_documents(docs)
-    n = exchange.number_of_groups(docs)
+    groups, _ = exchange.grouped_documents(docs, n)
     place = lambda c: exchange.group_of(c, n)
     asked = pairs.groupBy(place("a_doc").alias("p"), place("b_doc").alias("to"), "a", "a_doc").agg(F.collect_list(F.struct("b", "b_doc")).alias("mates"))
     asked = asked.select("p", "to", "a", "a_doc", F.col("mates.b").alias("nodes"), F.col("mates.b_doc").alias("docs"))
@@ -333,7 +331,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = shared.staged(rows.mapInArrow(_sign(words), "doc_id long, n long, node long, sig binary"), "signatures")
     classes = shared.staged(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    judges = shared.partitions(docs.sparkSession)
+    judges, n_groups = shared.partitions(docs.sparkSession), exchange.number_of_groups(rows)
 
     def bucketed(named: DataFrame, judge, schema: str) -> DataFrame:
         return named.mapInArrow(_send_keys(judges), KEYS).groupBy("judge").applyInArrow(judge, schema)
@@ -343,28 +341,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         near = pairs.join(one, "a").join(one.toDF("b", "b_doc", "b_n", "b_sig"), "b").select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_sig", "b_sig")
         near = near.mapInArrow(_near(percent), "a long, b long, a_doc long, b_doc long")
         near = shared.staged(near, "near")
-        return shared.staged(confirmed(rows, near, words, percent) if not near.isEmpty() else near.select("a", "b"), "links")
+        return shared.staged(confirmed(rows, n_groups, near, words, percent) if not near.isEmpty() else near.select("a", "b"), "links")
 
     pair = "a long, b long"
     members = bucketed(classes.withColumn("component", F.col("node")).withColumn("known", F.col("n")), _members, "node long").distinct()
     live = shared.staged(classes.join(members, "node"), "members")
     n_live = live.count()
     if n_live:
-        live = shared.staged(live.join(known_shingles(rows, live, words), "node").withColumn("component", F.col("node")), "members")
+        live = shared.staged(live.join(known_shingles(rows, n_groups, live, words), "node").withColumn("component", F.col("node")), "members")
     tested = shared.staged(bucketed(live, _pairs("hub", 0, percent), pair).distinct(), "tested") if n_live else live.select(F.col("node").alias("a"), F.col("node").alias("b"))
     links = compared(tested) if n_live else tested
+    fruitful = True  # hubs are worth a round while they link
     for seed in range(1, 9) if n_live else ():
         named = live.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = shared.staged(named, "named")
         left = bucketed(named, _pairs("count", 0, percent), pair).agg(F.sum("a")).first()[0] or 0
         if not left:
             break
-        every = left <= MANY * max(n_live, 10_000) or seed == 8
+        every = left <= MANY * max(n_live, 10_000) or not fruitful or seed == 8
         new = shared.staged(bucketed(named, _pairs("all" if every else "hub", seed, percent), pair).distinct().join(tested, ["a", "b"], "left_anti"), "tested")
         if new.isEmpty() and every:
             break
-        links = links.unionByName(compared(new))
-        tested = tested.unionByName(new)
+        found = compared(new)
+        fruitful = 50 * found.count() >= new.count()
+        links, tested = links.unionByName(found), tested.unionByName(new)
         if every:
             break
     found = classes.join(components(links), "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
