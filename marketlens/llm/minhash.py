@@ -45,6 +45,8 @@ THRESHOLD = POSITIONS // CHUNK * (ERRORS + 1) - 1
 BATCH_BYTES = 1 << 20
 #: Remaining pairs, for each member and once for each key that they share, up to which all are compared rather than hubs once more.
 MANY = 200
+#: A judge gets two to this power of keys, or more where there are fewer judges.
+KEYS_A_JUDGE = 18
 _U = np.uint64
 SHIFT = _U(18)
 FACTORS = mix(np.arange(1000, 1000 + POSITIONS, dtype=np.uint64)) | _U(1)
@@ -333,8 +335,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = shared.staged(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     judges, n_groups = shared.partitions(docs.sparkSession), exchange.number_of_groups(rows)
 
-    def bucketed(named: DataFrame, judge, schema: str) -> DataFrame:
-        return named.mapInArrow(_send_keys(judges), KEYS).groupBy("judge").applyInArrow(judge, schema)
+    def bucketed(named: DataFrame, n: int, judge, schema: str) -> DataFrame:
+        # as many judges as the keys need: a member is named by each judge that has one of its buckets
+        few = min(judges, max(8, n * POSITIONS >> KEYS_A_JUDGE))
+        return named.mapInArrow(_send_keys(few), KEYS).groupBy("judge").applyInArrow(judge, schema)
 
     def compared(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
@@ -344,22 +348,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return shared.staged(confirmed(rows, n_groups, near, words, percent) if not near.isEmpty() else near.select("a", "b"), "links")
 
     pair = "a long, b long"
-    members = bucketed(classes.withColumn("component", F.col("node")).withColumn("known", F.col("n")), _members, "node long").distinct()
+    members = bucketed(classes.withColumn("component", F.col("node")).withColumn("known", F.col("n")), classes.count(), _members, "node long").distinct()
     live = shared.staged(classes.join(members, "node"), "members")
     n_live = live.count()
     if n_live:
         live = shared.staged(live.join(known_shingles(rows, n_groups, live, words), "node").withColumn("component", F.col("node")), "members")
-    tested = shared.staged(bucketed(live, _pairs("hub", 0, percent), pair).distinct(), "tested") if n_live else live.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    tested = shared.staged(bucketed(live, n_live, _pairs("hub", 0, percent), pair).distinct(), "tested") if n_live else live.select(F.col("node").alias("a"), F.col("node").alias("b"))
     links = compared(tested) if n_live else tested
     fruitful = True  # hubs are worth a round while they link
     for seed in range(1, 9) if n_live else ():
         named = live.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = shared.staged(named, "named")
-        left = bucketed(named, _pairs("count", 0, percent), pair).agg(F.sum("a")).first()[0] or 0
+        left = bucketed(named, n_live, _pairs("count", 0, percent), pair).agg(F.sum("a")).first()[0] or 0
         if not left:
             break
         every = left <= MANY * max(n_live, 10_000) or not fruitful or seed == 8
-        new = shared.staged(bucketed(named, _pairs("all" if every else "hub", seed, percent), pair).distinct().join(tested, ["a", "b"], "left_anti"), "tested")
+        new = shared.staged(bucketed(named, n_live, _pairs("all" if every else "hub", seed, percent), pair).distinct().join(tested, ["a", "b"], "left_anti"), "tested")
         if new.isEmpty() and every:
             break
         found = compared(new)
