@@ -149,30 +149,34 @@ def score_texts(texts: list[str | None], numbers: np.ndarray, bias: float, key:
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most `sample` labelled rows and SAMPLE_BYTES of text, without the held-out fifth."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(id, text, toxic) of at most `sample` labelled rows and SAMPLE_BYTES of text, without the held-out fifth."""
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     one = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
-    ids = one.join(docs.select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size")), "id").filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
-    # the order of a hash is a sample; positives of the rare class come at the same rate
-    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    ids = one.join(docs.select(F.col("doc_id").cast("long").alias("id"), F.octet_length("text").alias("size")), "id").filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
+    # the first by a hash are a sample; the driver gets their ids and sizes only
     total, keep = 0, {}
-    for row in chosen:
-        total += row.size or 0
+    for row in ids.orderBy(F.xxhash64("id"), "id").limit(sample).collect():
+        total += row["size"] or 0
         if total > SAMPLE_BYTES:
             break
         keep[row.id] = row.toxic
-    spark = docs.sparkSession
-    picked = spark.createDataFrame([(k, int(v)) for k, v in keep.items()], "id long, toxic int")
-    rows = docs.filter(rest != 0).select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(picked), "id").orderBy("id", "text").collect()  # bounded as above
-    return [r.text for r in rows], [r.toxic for r in rows]
+    picked = docs.sparkSession.createDataFrame([(k, int(v)) for k, v in keep.items()], "id long, toxic int")
+    return docs.filter(rest != 0).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    texts, marks = labelled_sample(docs, labels, sample)
-    if not texts:
+    """The model of a labelled sample, trained by one task: the driver gets BUCKETS numbers and no text."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
+        numbers, bias = train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+        return pa.table([pa.array([numbers.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], names=["numbers", "bias"])
+
+    found = labelled_sample(docs, labels, sample).groupBy(F.lit(0).alias("all")).applyInArrow(run, "numbers binary, bias double").first()
+    if found is None:
         return np.zeros(BUCKETS, np.float32), 0.0
-    return train(texts, marks)
+    return np.frombuffer(found.numbers, "<f4").copy(), float(found.bias)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
