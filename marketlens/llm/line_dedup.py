@@ -54,39 +54,52 @@ def line_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return lines.select("doc_id", "rid", "at", "line", "check", "n", halves.alias("halves"))
 
 
+def near_lines(live: DataFrame) -> DataFrame:
+    """Those `first` of live (first, w: the words) that have an earlier near line; `first` names a line."""
+    # words as numbers, so that a variant is a hash of numbers
+    numbered = live.select("first", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    left_out = "transform(sequence(1, size(h)), i -> struct(i as place, xxhash64(concat(slice(h, 1, i - 1), slice(h, i + 1, size(h)))) as key))"
+    variants = numbered.select("first", F.explode(F.expr(f"concat(array(struct(0 as place, xxhash64(h) as key)), {left_out})")).alias("v")).select("first", "v.place", "v.key")
+    variants = shared.staged(variants, "variants")  # read twice, and each costs a hash of its line
+    twice = variants.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("key")
+    variants = shared.staged(variants.join(twice, "key"), "equal")
+
+    me = F.struct("first", "place")
+    by_key = variants.groupBy("key").agg(F.min(F.when(F.col("place") == 0, me)).alias("whole"), F.min(F.when(F.col("place") > 0, me)).alias("less"))
+    by_place = variants.filter("place > 0").groupBy("key", "place").agg(F.min(me).alias("mate"))
+    one = variants.join(by_key, "key").select("first", "place", F.expr("if(place = 0, less, whole)").alias("mate"))
+    two = variants.join(by_place, ["key", "place"]).select("first", "place", "mate")
+    pairs = one.unionByName(two).filter("mate is not null and mate.first < first").distinct()
+
+    both = pairs.join(live, "first").join(live.select(F.col("first").alias("m"), F.col("w").alias("m_w")), F.col("mate.first") == F.col("m"))
+    without = lambda w, i: f"if({i} = 0, {w}, concat(slice({w}, 1, {i} - 1), slice({w}, {i} + 1, size({w}))))"
+    return both.filter(F.expr(f"{without('w', 'place')} = {without('m_w', 'mate.place')}")).select("first").distinct()
+
+
 def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, rid, gone array<int>): the places of the lines that go, of documents that lose any. docs: doc_id, rid, text."""
     lines = shared.staged(line_table(docs, least), "lines")  # the only step that takes all lines apart
     first = F.min(F.struct("doc_id", "rid", "at")).alias("first")
     distinct = shared.staged(lines.groupBy("line", "check").agg(first, F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves")), "distinct")
+    shared.release(docs.sparkSession)
 
-    keys = distinct.filter("halves is not null").select("line", "check", F.explode("halves").alias("half"))
-    shared_halves = keys.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    live = keys.join(shared_halves, "half").select("line", "check").distinct().join(distinct.select("line", "check", "first"), ["line", "check"])
+    keys = distinct.filter("halves is not null").select("line", F.explode("halves").alias("half"))
+    halves = keys.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("half")
+    live = distinct.select("line", "first").join(keys.join(halves, "half").select("line").distinct(), "line").select("first")
 
-    wanted = live.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "line", "check", "first")).alias("lines"))
-    texts = docs.join(wanted, ["doc_id", "rid"]).select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("x"))
-    texts = shared.staged(texts.select("x.line", "x.check", "x.first", _words(F.expr("all[x.at]")).alias("w")), "texts")
-    del keys, shared_halves, live, wanted
+    wanted = live.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid")).agg(F.collect_list("first").alias("firsts"))
+    texts = docs.join(wanted, ["doc_id", "rid"]).select(F.split("text", "\n", -1).alias("all"), F.explode("firsts").alias("first"))
+    texts = shared.staged(texts.select("first", _words(F.expr("all[first.at]")).alias("w")), "texts")
+    del keys, halves, live, wanted
     shared.release(docs.sparkSession)
 
-    left_out = "transform(sequence(1, size(w)), i -> struct(i as place, xxhash64(concat(slice(w, 1, i - 1), slice(w, i + 1, size(w)))) as key))"
-    variants = texts.select("line", "check", "first", F.explode(F.expr(f"concat(array(struct(0 as place, xxhash64(w) as key)), {left_out})")).alias("v")).select("line", "check", "first", "v.place", "v.key")
-    me = F.struct("first", "line", "check", "place")
-    by_key = variants.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min(F.when(F.col("place") == 0, me)).alias("whole"), F.min(F.when(F.col("place") > 0, me)).alias("less")).filter("here > 1")
-    by_place = variants.filter("place > 0").groupBy("key", "place").agg(F.count(F.lit(1)).alias("here"), F.min(me).alias("changed")).filter("here > 1").select("key", "place", "changed")
-    one = variants.join(by_key, "key").select("line", "check", "first", "place", F.expr("if(place = 0, less, whole)").alias("mate"))
-    two = variants.join(by_place, ["key", "place"]).select("line", "check", "first", "place", F.col("changed").alias("mate"))
-    pairs = one.unionByName(two).filter("mate is not null and mate.first < first").select("line", "check", "place", F.col("mate.line").alias("m_line"), F.col("mate.check").alias("m_check"), F.col("mate.place").alias("m_place")).distinct()
-
-    words = texts.select("line", "check", "w")
-    both = pairs.join(words, ["line", "check"]).join(words.toDF("m_line", "m_check", "m_w"), ["m_line", "m_check"])
-    without = lambda w, i: f"if({i} = 0, {w}, concat(slice({w}, 1, {i} - 1), slice({w}, {i} + 1, size({w}))))"
-    near = both.filter(F.expr(f"{without('w', 'place')} = {without('m_w', 'm_place')}")).select("line", "check", F.lit(True).alias("near")).distinct()
-
-    known = distinct.select("line", "check", "first", "times").join(near, ["line", "check"], "left").filter("times > 1 or near")
+    near = near_lines(texts).select("first", F.lit(True).alias("near"))
+    known = distinct.select("line", "check", "first", "times").join(near, "first", "left").filter("times > 1 or near")
     gone = lines.select("doc_id", "rid", "at", "line", "check").join(known, ["line", "check"]).filter("near or first <> struct(doc_id, rid, at)")
-    return shared.staged(gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list("at")).alias("gone")), "gone")
+    gone = shared.staged(gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list("at")).alias("gone")), "gone")
+    del near, known, texts
+    shared.release(docs.sparkSession)
+    return gone
 
 
 def remove_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
