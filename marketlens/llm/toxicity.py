@@ -36,7 +36,7 @@ STEPS, RATE, DECAY = 150, 0.05, 1.0
 LEAST_DOCUMENTS = 2
 #: Factor between the average and the softmax, so that few words among many can tell.
 SHARPEN = 60.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 EDGES = re.compile(r"^\W+|\W+$")
 
 _cache: dict = {}
