@@ -14,6 +14,8 @@ from marketlens.llm import decontam, line_dedup, minhash, packing, queries, shar
 
 #: SQL can express neither the trained scores nor the packing; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
+#: Percent of shingles that near-duplicates share here; op8_minhash alone has its own.
+SIMILAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """One document of each group of near-duplicates (a similarity of SIMILAR percent or more): the one with the smallest id."""
+    gone = minhash.near_duplicates(docs, percent=SIMILAR).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

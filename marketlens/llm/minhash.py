@@ -7,7 +7,9 @@ positions. All chunks with one position left out are enumerated as keys, so ever
 such pair shares a key. At a Jaccard similarity of 0.85 a position differs with
 probability 0.15, so about 14.4 of 96 do; more than THRESHOLD = 31 in about one of
 10^5 such pairs and fewer for closer ones. Candidates under the threshold are
-confirmed on their full shingle sets.
+confirmed on their full shingle sets. Below 0.85, LOW_POSITIONS in chunks of LOW_CHUNK
+are used: of a pair at 0.8 about 20 of 100 positions differ, and more than 39 in fewer than
+one of 10^5 such pairs.
 
 Documents of equal shingle sets are one class, and classes without a key in common
 with another are done. Of the rest, the shingles that no other of them has are
@@ -42,6 +44,8 @@ from marketlens.llm.textops import BASE, IMAGE, LOWER, WORD_BASE, Texts, chunks,
 WORDS, PERCENT = 5, 85
 POSITIONS, CHUNK, ERRORS = 96, 6, 1
 THRESHOLD = POSITIONS // CHUNK * (ERRORS + 1) - 1
+#: For similarities under PERCENT, where more positions differ.
+LOW_POSITIONS, LOW_CHUNK = 100, 5
 BATCH_BYTES = 1 << 20
 #: Remaining pairs, for each member and once for each key that they share, up to which all are compared rather than hubs once more.
 MANY = 200
@@ -49,7 +53,12 @@ MANY = 200
 KEYS_A_JUDGE = 18
 _U = np.uint64
 SHIFT = _U(18)
-FACTORS = mix(np.arange(1000, 1000 + POSITIONS, dtype=np.uint64)) | _U(1)
+
+
+def layout(percent: int) -> tuple[int, int, int]:
+    """(positions, chunk, threshold) of signatures for a similarity."""
+    positions, chunk = (POSITIONS, CHUNK) if percent >= PERCENT else (LOW_POSITIONS, LOW_CHUNK)
+    return positions, chunk, positions // chunk * (ERRORS + 1) - 1
 
 
 def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,26 +85,27 @@ def set_names(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)), _U(0))
 
 
-def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of POSITIONS symbols for each set; zeros for an empty one."""
-    out = np.zeros((len(at) - 1, POSITIONS), np.uint8)
+def signatures(values: np.ndarray, at: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
+    """A row of `positions` symbols for each set; zeros for an empty one."""
+    out = np.zeros((len(at) - 1, positions), np.uint8)
+    factors = mix(np.arange(1000, 1000 + positions, dtype=np.uint64)) | _U(1)
     full = np.flatnonzero(np.diff(at))
     if len(full):
         buffer, starts = np.empty_like(values), at[:-1][full]
-        for j in range(POSITIONS):
-            np.multiply(values, FACTORS[j], out=buffer)
-            out[full, j] = (np.minimum.reduceat(buffer, starts) * FACTORS[-1 - j]) >> _U(56)
+        for j in range(positions):
+            np.multiply(values, factors[j], out=buffer)
+            out[full, j] = (np.minimum.reduceat(buffer, starts) * factors[-1 - j]) >> _U(56)
     return out
 
 
-def _sign(words: int):
+def _sign(words: int, positions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.diff(Texts.of(batch.column("text")).at)
             for a, b in chunks(sizes, BATCH_BYTES):
                 part = batch.slice(a, b - a)
                 values, at = shingle_sets(Texts.of(part.column("text")), words)
-                sig = signatures(values, at)
+                sig = signatures(values, at, positions)
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(set_names(values, at).view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
                     names=["doc_id", "n", "node", "sig"],
@@ -104,18 +114,18 @@ def _sign(words: int):
     return run
 
 
-def _keys(sig: np.ndarray) -> np.ndarray:
+def _keys(sig: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """All chunks of each signature with one position left out, as hashes; a row a signature."""
     wide = sig.astype(np.uint64)
     out = []
-    for c in range(0, POSITIONS, CHUNK):
-        for skip in range(CHUNK):
-            key = np.full(len(sig), c * CHUNK + skip, np.uint64)
-            for j in range(CHUNK):
+    for c in range(0, sig.shape[1], chunk):
+        for skip in range(chunk):
+            key = np.full(len(sig), c * chunk + skip, np.uint64)
+            for j in range(chunk):
                 if j != skip:
                     key = key << _U(8) | wide[:, c + j]
             out.append(mix(key))
-    return np.stack(out, 1) if len(sig) else np.zeros((0, POSITIONS), np.uint64)
+    return np.stack(out, 1) if len(sig) else np.zeros((0, sig.shape[1]), np.uint64)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -129,13 +139,13 @@ def _unplanes(blob: bytes) -> np.ndarray:
 KEYS = "judge int, keys binary, places binary, nodes binary, groups binary, sizes binary, known binary"
 
 
-def _send_keys(judges: int):
+def _send_keys(judges: int, positions: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-                keys = _keys(sig)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, positions)
+                keys = _keys(sig, chunk)
                 key, which = keys.ravel(), np.repeat(np.arange(len(sig)), keys.shape[1])
                 order = np.argsort(key, kind="stable")
                 key, which = key[order], which[order]
@@ -262,12 +272,14 @@ def known_shingles(docs: DataFrame, n: int, classes: DataFrame, words: int) -> D
 
 
 def _near(percent: int):
+    positions, _, threshold = layout(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("a_sig", "b_sig"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, positions) for c in ("a_sig", "b_sig"))
                 n, m = (batch.column(c).to_numpy() for c in ("a_n", "b_n"))
-                good = ((a != b).sum(1) <= THRESHOLD) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                good = ((a != b).sum(1) <= threshold) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                 yield batch.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(good))
 
     return run
@@ -331,14 +343,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if not 80 <= percent <= 100:
         raise ValueError("the signatures are laid out for similarities of 0.8 and more")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = shared.staged(rows.mapInArrow(_sign(words), "doc_id long, n long, node long, sig binary"), "signatures")
+    positions, chunk, _ = layout(percent)
+    signed = shared.staged(rows.mapInArrow(_sign(words, positions), "doc_id long, n long, node long, sig binary"), "signatures")
     classes = shared.staged(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     judges, n_groups = shared.partitions(docs.sparkSession), exchange.number_of_groups(rows)
 
     def bucketed(named: DataFrame, n: int, judge, schema: str) -> DataFrame:
         # as many judges as the keys need: a member is named by each judge that has one of its buckets
-        few = min(judges, max(8, n * POSITIONS >> KEYS_A_JUDGE))
-        return named.mapInArrow(_send_keys(few), KEYS).groupBy("judge").applyInArrow(judge, schema)
+        few = min(judges, max(8, n * positions >> KEYS_A_JUDGE))
+        return named.mapInArrow(_send_keys(few, positions, chunk), KEYS).groupBy("judge").applyInArrow(judge, schema)
 
     def compared(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))

@@ -57,3 +57,32 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    import numpy as np
+
+    from tests.llm import test_minhash
+
+    rng, rows = np.random.default_rng(8), []
+    for k in range(40):  # a copy without its first words shares 80 to 84 of 100 shingles
+        words = [f"w{k}.{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[int(rng.integers(16, 21)) :]))]
+    rows.append((90, " ".join(f"w0.{i}" for i in range(24, 104))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {d for d, _, _, kept in test_minhash.brute(rows, 80) if kept}
+    assert len(got) < sum(kept for *_, kept in test_minhash.brute(rows))
+
+
+def test_signatures_are_as_safe_at_four_fifths():
+    from math import comb
+
+    from marketlens.llm import minhash
+
+    def missed(percent):
+        n, _, most = minhash.layout(percent)
+        p = (100 - percent) / 100
+        return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
+
+    assert missed(80) <= missed(85) < 2e-5
