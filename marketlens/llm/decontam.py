@@ -4,8 +4,9 @@ Tokens are lower-cased words. A document overlaps an item if, laid side by side
 some offset, WINDOW consecutive tokens of both agree in AT_LEAST or more; an item
 of fewer tokens counts whole, with the same number of differences allowed for as
 many tokens (rounded down). Fixed masks pick WEIGHT of SPAN tokens and ignore the rest:
-MASKS hit every window of 15 tokens with up to 3 substitutions, wherever they
-are (the tests try them all). Hashes of the masked tokens at each position of the
+MASKS, each at all positions where its own last token exists, hit every window of 15 tokens
+with up to 3 substitutions, wherever they are, and SHORT_MASKS with them every item of 10 to 14
+tokens with up to 2 (the tests try them all); documents have the latter only if there are such items. Hashes of the masked tokens at each position of the
 items are joined with those of the documents, and around each hit the two are compared token
 by token at that offset. The items' hashes are broadcast only if a count shows
 that they fit BROADCAST_ROWS, else both sides are shuffled.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 # Token positions that a mask reads.
 MASKS = ((0, 1, 3, 7, 8, 9), (0, 1, 4, 6, 7, 8), (0, 1, 2, 6, 7, 9))
+SHORT_MASKS = ((0, 1, 2, 3, 5), (0, 3, 4, 6, 7))
 SPAN, WINDOW, AT_LEAST = 10, 15, 12
 BROADCAST_ROWS = 500_000
 
@@ -33,25 +35,30 @@ def _tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(table: DataFrame) -> DataFrame:
-    """A row for each position and mask of a table with `tokens`: at (from 0) and key."""
+def _seeds(table: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
+    """A row for each position and mask of a table with `tokens`: at (from 0) and key. A mask is at every position from which it lies within the text."""
+    least, widest = min(map(max, masks)) + 1, max(map(max, masks)) + 1
     # no filter on tokens, here or inferred from the generator: it would split each text once more
-    n = f"greatest(size(tokens) - {SPAN - 1}, 0)"
-    shifted = [F.expr(f"slice(tokens, {j + 1}, {n})").alias(f"t{j}") for j in range(SPAN)]
-    at = F.expr(f"if(size(tokens) < {SPAN}, array(), sequence(0, size(tokens) - {SPAN}))").alias("at")
+    n = f"greatest(size(tokens) - {least - 1}, 0)"
+    shifted = [F.expr(f"slice(tokens, {j + 1}, {n})").alias(f"t{j}") for j in range(widest)]
+    at = F.expr(f"if(size(tokens) < {SPAN}, array(), sequence(0, size(tokens) - {least}))").alias("at")
     rows = table.select("*", F.arrays_zip(at, *shifted).alias("z")).select(*table.columns, F.inline_outer("z")).filter("at is not null")
-    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"t{j}") for j in mask]) for k, mask in enumerate(MASKS)])
-    return rows.select(*table.columns, "at", F.explode(keys).alias("key"))
+    # past the end of a text its tokens are null, and so is the key of a mask that would read them
+    keys = F.array(*[F.when(F.col(f"t{max(mask)}").isNotNull(), F.xxhash64(F.lit(str(mask)), *[F.col(f"t{j}") for j in mask])) for mask in masks])
+    return rows.select(*table.columns, "at", F.explode(keys).alias("key")).filter("key is not null")
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start (first token of the document that is part of the overlap), n_tokens, n_equal."""
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), _tokens(F.col("text")).alias("tokens"))
-    seeds = _seeds(bench).select("item_id", F.col("at").alias("item_at"), "key")
+    short = bench.filter(F.size("tokens").between(SPAN, WINDOW - 1))
+    masks = MASKS if short.isEmpty() else MASKS + SHORT_MASKS
+    seeds = _seeds(bench) if masks == MASKS else _seeds(bench).unionByName(_seeds(short, SHORT_MASKS))
+    seeds = seeds.select("item_id", F.col("at").alias("item_at"), "key")
     small = seeds.count() <= BROADCAST_ROWS
     whole = bench.select("item_id", F.col("tokens").alias("item_tokens")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text")).alias("tokens"))
-    hits = _seeds(rows).join(F.broadcast(seeds) if small else seeds.hint("shuffle_hash"), "key").withColumn("offset", F.col("at") - F.col("item_at"))
+    hits = _seeds(rows, masks).join(F.broadcast(seeds) if small else seeds.hint("shuffle_hash"), "key").withColumn("offset", F.col("at") - F.col("item_at"))
     # from here a hit has the part of its document that lies beside the item
     hits = hits.join(F.broadcast(whole) if small else whole, "item_id")
     hits = hits.withColumn("from", F.greatest(F.col("offset"), F.lit(0))).withColumn("skip", F.greatest(-F.col("offset"), F.lit(0)))

@@ -74,3 +74,16 @@ def test_empty_and_odd_items(spark, table):
     assert got == [(0, 4, 0, 12, 12), (1, 4, 1, 12, 12), (2, 4, 0, 12, 10)]
     assert decontam.overlaps(table([]), items).collect() == []
     assert decontam.overlaps(table(rows), items.limit(0)).collect() == []
+
+
+def test_all_substitutions_that_are_allowed_are_found(spark, table):
+    items, rows = [], []
+    for n in range(SPAN, WINDOW + 1):
+        words = [f"i{n}.{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in combinations(range(n), n * (WINDOW - AT_LEAST) // WINDOW):
+            rows.append((1000 * n + len(rows), " ".join("x" if j in gone else w for j, w in enumerate(words))))
+        rows.append((1000 * n + len(rows), " ".join(words[:-3] + ["x"] * 4)) if n < WINDOW else (7, " ".join(words[:-4] + ["x"] * 5)))  # one too many
+    its = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(table(rows), its).collect()}
+    assert got == brute(rows, items) and len(got) == 45 + 55 + 66 + 78 + 91 + 455
