@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.textops import chunks
+
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 16, (3, 4, 5)
 #: The most labelled documents, and bytes of their texts, that are learned from.
 SAMPLE, SAMPLE_BYTES = 8_000, 64 << 20
@@ -36,12 +38,23 @@ STEPS, RATE, DECAY = 150, 0.05, 1.0
 LEAST_DOCUMENTS = 2
 #: Factor between the average and the softmax, so that few words among many can tell.
 SHARPEN = 60.0
-CACHE_WORDS = 250_000
+#: Words that a worker keeps the numbers of, if they have no more characters than this.
+CACHE_WORDS, CACHE_LENGTH = 250_000, 64
+#: Characters of the words that are taken apart at once.
+FORMS = 1 << 18
 EDGES = re.compile(r"^\W+|\W+$")
 
 _cache: dict = {}
 
 
+def _gram_buckets(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    h = np.full(len(at), n, np.uint64)
+    for j in range(n):
+        h = (h + data[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
 def subwords(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, starts): of each form itself and of its n-grams of UTF-8 bytes, with marks at its ends."""
     marked = [b"<%b>" % w.encode() for w in forms]
@@ -54,11 +67,7 @@ def subwords(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owners = [np.arange(len(marked), dtype=np.int32)]
     for n in GRAMS:
         at = np.flatnonzero(left >= n)
-        h = np.full(len(at), n, np.uint64)
-        for j in range(n):
-            h = (h + data[at + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        ids.append(((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32))
+        ids.append(_gram_buckets(data, at, n))
         owners.append(owner[at])
     owners, ids = np.concatenate(owners), np.concatenate(ids)
     order = np.argsort(owners, kind="stable")
@@ -71,7 +80,30 @@ def words(text: str | None) -> list[str]:
 
 def core(word: str) -> str:
     """A word without the punctuation around it; punctuation alone stays."""
-    return EDGES.sub("", word)[:64] or word[:64]
+    return EDGES.sub("", word) or word
+
+
+def means(forms: list[str], numbers: np.ndarray) -> list[float]:
+    """The mean number of each form's subwords, of all of them however long it is; forms are taken apart some at a time."""
+    out: list[float] = []
+    for a, b in chunks(np.fromiter(map(len, forms), np.int64, len(forms)), FORMS):
+        if len(forms[a]) > FORMS:  # one long form: its n-grams, a piece at a time
+            out.append(_long_mean(forms[a], numbers))
+            continue
+        grams, at = subwords(forms[a:b])
+        out += (_segment_sums(numbers[grams], at) / np.maximum(np.diff(at), 1)).tolist()
+    return out
+
+
+def _long_mean(form: str, numbers: np.ndarray) -> float:
+    marked = np.frombuffer(b"<%b>" % form.encode(), np.uint8)
+    total, count = float(numbers[zlib.crc32(marked) % BUCKETS]), 1
+    for at in range(0, len(marked), FORMS):
+        data = marked[at : at + FORMS + max(GRAMS) - 1].astype(np.uint64)
+        for n in GRAMS:
+            h = _gram_buckets(data, np.arange(min(FORMS, len(data) - n + 1)), n)
+            total, count = total + float(numbers[h].sum(dtype=np.float64)), count + len(h)
+    return total / count
 
 
 def _segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -142,10 +174,12 @@ def score_texts(texts: list[str | None], numbers: np.ndarray, bias: float, key:
     known = _cache["words"]
     split, out = [words(t) for t in texts], np.empty(len(texts))
     new = list(set().union(*split).difference(known))
-    grams, at = subwords([core(w) for w in new])
-    known.update(zip(new, (_segment_sums(numbers[grams], at) / np.maximum(np.diff(at), 1)).tolist()))
+    known.update(zip(new, means([core(w) for w in new], numbers)))
     for i, tokens in enumerate(split):
         out[i] = sum(map(known.__getitem__, tokens)) / max(len(tokens), 1) + bias
+    for w in new:
+        if len(w) > CACHE_LENGTH:  # seldom seen again, and large
+            del known[w]
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 

@@ -98,3 +98,14 @@ def test_counts_cover_all_documents(documents):
     counts = lm_score.fit(documents.withColumn("target", F.lit(True)))
     words = sum(len((r.text or "").encode().split()) for r in documents.collect())
     assert counts[:, 0, 1 : lm_score.UNIGRAMS].sum() == words == counts[:, 1, lm_score.UNIGRAMS :].sum()
+
+
+def test_a_run_without_spaces_is_read_to_its_end():
+    plain, bad = [f"wort{i}" for i in range(40)], "abscheulich"
+    texts = [" ".join(plain[i % 7 :: 7] + ([bad] * 3 if i % 2 else [])) for i in range(80)]
+    numbers, bias = toxicity.train(texts, [i % 2 for i in range(80)])
+    head = "".join(plain)
+    clean, late = toxicity.score_texts([head, head + bad * 40], numbers, bias, "runs")
+    assert late > clean and len(head) > 64 and toxicity.core(f"({head})") == head
+    assert toxicity.means([head * 2000], numbers) == pytest.approx([float(numbers[toxicity.subwords([head * 2000])[0]].mean(dtype=float))])
+    assert not any(len(w) > toxicity.CACHE_LENGTH for w in toxicity._cache["words"])
