@@ -19,8 +19,10 @@ SIMILAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under one half; the model learns from the labelled rows of docs."""
+    """Documents whose score is under one half; the model learns from the labelled rows of docs. All stay if it learned of no word."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model[0].any():
+        return docs
     return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
 
 

@@ -11,7 +11,8 @@ document's logit is the mean of its words' numbers: scoring is a scan.
 Defined cases: a null or empty text has no words and gets the score of the bias
 alone; labels that are null or not 0 or 1 are not learned from; an id with several
 labels that differ is not learned from; rows without an id are scored, not held out and not
-learned from; with no labels every score is 0.5; rows
+learned from; with no labels, or none but of class 1, every score is 0.5; a text that would take the
+sample over SAMPLE_BYTES is left out of it and those after it are not; rows
 that repeat an id are scored each; other columns are ignored.
 """
 
@@ -188,13 +189,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     one = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
     ids = one.join(docs.select(F.col("doc_id").cast("long").alias("id"), F.octet_length("text").alias("size")), "id").filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
+    # an id's rows are learned from together; a text over SAMPLE_BYTES takes no place among the first
+    ids = ids.groupBy("id", "toxic").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).filter(F.col("size") <= SAMPLE_BYTES)
     # the first by a hash are a sample; the driver gets their ids and sizes only
     total, keep = 0, {}
     for row in ids.orderBy(F.xxhash64("id"), "id").limit(sample).collect():
-        total += row["size"] or 0
-        if total > SAMPLE_BYTES:
-            break
-        keep[row.id] = row.toxic
+        if total + row["size"] <= SAMPLE_BYTES:
+            total += row["size"]
+            keep[row.id] = row.toxic
     picked = docs.sparkSession.createDataFrame([(k, int(v)) for k, v in keep.items()], "id long, toxic int")
     return docs.filter(rest != 0).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
 
@@ -204,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
-        numbers, bias = train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+        toxic = rows.column("toxic").to_pylist()
+        # without a clean text nothing tells the classes apart
+        numbers, bias = train(rows.column("text").to_pylist(), toxic) if 0 in toxic else (np.zeros(BUCKETS, np.float32), 0.0)
         return pa.table([pa.array([numbers.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], names=["numbers", "bias"])
 
     found = labelled_sample(docs, labels, sample).groupBy(F.lit(0).alias("all")).applyInArrow(run, "numbers binary, bias double").first()

@@ -86,3 +86,25 @@ def test_signatures_are_as_safe_at_four_fifths():
         return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
 
     assert missed(80) <= missed(85) < 2e-5
+
+
+def test_no_document_goes_when_nothing_can_be_learned(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"plain words of document {i}") for i in range(1, 30)], "doc_id long, text string")
+    for k, rows in enumerate(([], [(1, None), (2, 0), (2, 1)], [(i, 1) for i in range(1, 9)])):
+        spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{k}").count() == 29
+
+
+def test_a_giant_labelled_text_leaves_the_rest_of_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from marketlens.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    ids = spark.range(1, 40).filter(F.crc32(F.col("id").cast("string")) % 5 != 0).orderBy(F.xxhash64("id"))
+    first, *rest = [r.id for r in ids.collect()]
+    labels = spark.createDataFrame([(i, i % 2) for i in [first, *rest]], "doc_id long, toxic int")
+    for giant in ([(first, "x" * 2000)], [(first, "x" * 600), (first, "x" * 600)], [(first, "x"), (rest[0], "x" * 1000)]):
+        docs = spark.createDataFrame([*giant, *[(i, "ten bytes.") for i in rest if i != giant[-1][0]]], "doc_id long, text string")
+        got = {r.id for r in toxicity.labelled_sample(docs, labels, 20).collect()}
+        assert len(got) >= 19 and giant[-1][0] not in got
