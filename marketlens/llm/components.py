@@ -14,7 +14,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round joins every neighbour that is larger than a node to the node's
     smallest neighbour, and then the rest likewise, until no edge changes. Smallest
     neighbours come from a partial aggregation, so a node with many edges is
-    split. Loops, repeated edges and both directions are allowed.
+    split. Loops, repeated edges and both directions are allowed. An error says that the rounds ran out.
     """
     now = shared.staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
@@ -27,5 +27,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
             break
         now = after
+    else:
+        raise RuntimeError(f"edges still change after {rounds} rounds: components would be too many")
     stars = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))

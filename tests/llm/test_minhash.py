@@ -76,3 +76,9 @@ def test_keys_meet_under_the_threshold():
 def test_components(spark, edges, want):
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == want
+
+
+def test_components_say_that_the_rounds_ran_out(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
