@@ -1,15 +1,20 @@
 """Cross-entropy difference of two n-gram models over one vocabulary.
 
 The target model counts the documents labelled as good, the background model all
-documents. Both are interpolated word bigram models whose words and word pairs are
-hashed into the same `UNIGRAMS` and `BIGRAMS` slots, so they share one vocabulary
-and their size doesn't depend on the corpus; the counts cover every
-document. A slot's conditional probability is (pair count + PRIOR * p(word)) /
-(context count + PRIOR), and p(word) is smoothed by one over the slots. A document's score is its
+documents. Both are interpolated word bigram models of real words and word pairs, by 64-bit
+hashes, so the models grow with the corpus and the counts cover every
+document. A pair's conditional probability is (pair count + PRIOR * p(word)) /
+(context count + PRIOR), and p(word) is smoothed by one over the vocabulary: all distinct words of the
+corpus, or UNIGRAMS if they are fewer. A document's score is its
 mean loss a token under the target model minus that under the background model:
 lower is closer to the target. Documents are split in two folds by a hash of doc_id, and each is
 scored by the models of the other fold, so no document is scored by its own counts.
 
+Documents are dealt into groups of one fold. A group sends each judge (a range of hashes) its
+distinct words and pairs with their counts; the judge answers with the counts of the other fold, the
+tokens and the words of its range, and the group, read again, scores its documents. So no task
+holds a whole model. `fit` counts into fixed slots; the query doesn't use it.
+
 Defined cases: a null, empty or word-less text has no tokens and scores 0 in all
 columns; labels that are null or contradict each other mark no target; without a
 target the models are equal and each difference is the models' smoothing alone;
@@ -26,8 +31,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm import exchange
 from marketlens.llm.shared import partitions
-from marketlens.llm.textops import BASE, IMAGE, LOWER, WORD_BASE, Texts, chunks, span_hashes
+from marketlens.llm.textops import BASE, IMAGE, LOWER, WORD_BASE, Texts, chunks, mix, pack_numbers, pack_sorted, span_hashes, unpack_numbers, unpack_sorted
 
 UNIGRAMS, BIGRAMS = 1 << 17, 1 << 20
 BLOCK = 1 << 14
@@ -107,47 +113,115 @@ def fit(docs: DataFrame, unigrams: int = UNIGRAMS, bigrams: int = BIGRAMS) -> np
     return total.reshape(2, 2, -1)
 
 
-def losses(texts: Texts, counts: np.ndarray, unigrams: int = UNIGRAMS, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, sum of losses under background and target, a column each) of each text."""
-    word, pair, context, at = slots(texts, unigrams, counts.shape[1] - unigrams)
-    out = np.zeros((len(at) - 1, 2))
-    for k in (0, 1):
-        alone, both = counts[k, :unigrams], counts[k, unigrams:]
-        tokens = alone[1:].sum(dtype=np.float64)
-        p = (alone[word] + 1) / (tokens + unigrams)
-        loss = -np.log((both[pair] + prior * p) / (np.maximum(alone[context], both[pair]) + prior))
-        sums = np.concatenate([[0.0], np.cumsum(loss)])
-        out[:, k] = sums[at[1:]] - sums[at[:-1]]
-    return np.diff(at), out
+SENT = "judge int, p int, words binary, word_counts binary, word_targets binary, pairs binary, pair_counts binary, pair_targets binary"
+ANSWERED = "p int, judge int, words binary, pairs binary, totals array<long>"
+SCORES = "doc_id long, n_tokens long, background_loss double, target_loss double, difference double"
 
 
-def score(docs: DataFrame, counts: np.ndarray, unigrams: int = UNIGRAMS) -> DataFrame:
-    """doc_id, n_tokens, background_loss, target_loss (means a token) and difference of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # unigrams + bigrams numbers a fold and model, however large the corpus
+def ngrams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, pair, context, first token of each text and the end), as 64-bit hashes; a text's first word follows the boundary, the hash 0."""
+    start, end, at = texts.words()
+    word = span_hashes(IMAGE[LOWER[texts.data]], start, end, BASE)
+    context = np.zeros(len(word), np.uint64)
+    context[1:] = word[:-1]
+    context[at[:-1][np.diff(at) > 0]] = 0
+    return word, mix((context * WORD_BASE) ^ word), context, at
+
+
+def _place(key: Column, groups: int) -> Column:
+    """A group of one fold."""
+    return (F.pmod(F.xxhash64(F.lit(11), key), F.lit(groups)) * 2 + fold_of()).cast("int")
+
+
+def _send(judges: int):
+    def run(key: tuple, group: pa.Table, good: pa.Table) -> pa.Table:
+        rows = []
+        if group.num_rows:
+            word, pair, _, at = ngrams(Texts.of(exchange.column(group, "text")))
+            n, targets = np.diff(at), set(good.column("doc_id").to_pylist())
+            target = np.array([d in targets for d in group.column("doc_id").to_pylist()], bool)
+            # the boundary is a word that each text with words has once
+            boundary = np.zeros(int((n > 0).sum()), np.uint64)
+            sides = []
+            for values, marks in ((np.concatenate([boundary, word]), np.concatenate([target[n > 0], np.repeat(target, n)])), (pair, np.repeat(target, n))):
+                hashes, which = np.unique(values, return_inverse=True)
+                sides.append((hashes, np.bincount(which, minlength=len(hashes)), np.bincount(which[marks], minlength=len(hashes)), exchange.judge_cuts(hashes, judges)))
+            for j in range(judges):  # a row for every judge: its totals are part of the answer
+                row = []
+                for hashes, count, marked, cuts in sides:
+                    a, b = cuts[j], cuts[j + 1]
+                    row += [pack_sorted(hashes[a:b]), pack_numbers(count[a:b]), pack_numbers(marked[a:b])]
+                rows.append((j, key[0].as_py(), *row))
+        return pa.Table.from_batches([exchange.batch(rows, SENT)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(np.diff(Texts.of(batch.column("text")).at), BATCH_BYTES):
-                part = batch.slice(a, b - a)
-                fold = part.column("fold").to_numpy()
-                mean = np.zeros((b - a, 2))
-                for f in (0, 1):
-                    mine = np.flatnonzero(fold == f)
-                    n, sums = losses(Texts.of(part.column("text").take(pa.array(mine))), shared.value[1 - f], unigrams)
-                    mean[mine] = sums / np.maximum(n, 1)[:, None]
-                n = np.diff(Texts.of(part.column("text")).words()[2])
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(mean[:, 0]), pa.array(mean[:, 1]), pa.array(mean[:, 1] - mean[:, 0])],
-                    names=["doc_id", "n_tokens", "background_loss", "target_loss", "difference"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold_of().alias("fold"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, background_loss double, target_loss double, difference double")
+    return run
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplanes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _judge(key: tuple, got: pa.Table) -> pa.Table:
+    """To each group, the other fold's counts of its words and pairs under background and target, and this range's tokens in both and its words."""
+    p = got.column("p").to_pylist()
+    fold = np.array(p) % 2
+    blobs, totals = [], None
+    for name in ("word", "pair"):
+        parts = [unpack_sorted(x) for x in got.column(f"{name}s").to_pylist()]
+        sizes = [len(x) for x in parts]
+        every, which = np.unique(np.concatenate(parts), return_inverse=True)
+        folds, sums = np.repeat(fold, sizes), {}
+        for k, c in enumerate((f"{name}_counts", f"{name}_targets")):
+            count = np.concatenate([unpack_numbers(x) for x in got.column(c).to_pylist()])
+            for f in (0, 1):
+                sums[f, k] = np.bincount(which, count * (folds == f), len(every)).astype(np.int64)
+        if totals is None:
+            real = every != 0
+            totals = {f: [int(sums[f, 0][real].sum()), int(sums[f, 1][real].sum()), int(real.sum())] for f in (0, 1)}
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+        blobs.append([_planes(np.concatenate([sums[1 - f, 0][which[a:b]], sums[1 - f, 1][which[a:b]]])) for f, a, b in zip(fold, at, at[1:])])
+    rows = [(q, key[0].as_py(), w, x, totals[1 - q % 2]) for q, w, x in zip(p, *blobs)]
+    return pa.Table.from_batches([exchange.batch(rows, ANSWERED)])
+
+
+def _score(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+    schema = _score_schema()
+    if not group.num_rows:
+        return schema.empty_table()
+    word, pair, context, at = ngrams(Texts.of(exchange.column(group, "text")))
+    n = np.diff(at)
+    answers = answers.sort_by("judge")
+    counts = [np.concatenate([np.zeros((2, 0), np.int64), *(_unplanes(x).reshape(2, -1) for x in answers.column(c).to_pylist())], axis=1) for c in ("words", "pairs")]
+    tokens_background, tokens_target, vocabulary = np.sum(answers.column("totals").to_pylist(), axis=0)
+    mean = np.zeros((len(n), 2))
+    if len(word):
+        words, pairs = np.unique(np.concatenate([[_U(0)], word])), np.unique(pair)
+        where, before, which = np.searchsorted(words, word), np.searchsorted(words, context), np.searchsorted(pairs, pair)
+        full = np.flatnonzero(n)
+        for k, tokens in enumerate((tokens_background, tokens_target)):
+            alone, both = counts[0][k], counts[1][k][which]
+            p = (alone[where] + 1) / (tokens + max(UNIGRAMS, vocabulary))
+            loss = -np.log((both + PRIOR * p) / (np.maximum(alone[before], both) + PRIOR))
+            mean[full, k] = np.add.reduceat(loss, at[:-1][full]) / n[full]
+    return pa.table([exchange.column(group, "doc_id"), pa.array(n, pa.int64()), pa.array(mean[:, 0]), pa.array(mean[:, 1]), pa.array(mean[:, 1] - mean[:, 0])], schema=schema)
+
+
+def _score_schema() -> pa.Schema:
+    return pa.schema([(x.split(" ")[0], pa.int64() if x.endswith("long") else pa.float64()) for x in SCORES.split(", ")])
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
-    """Scores of all documents; the target are those whose label is 1."""
-    good = labels.filter(f"{column} is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.min(column) == 1).alias("target"))
-    # labels grow with the corpus: one shuffle of the texts at every size, not a broadcast of the labels
-    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), docs["doc_id"] == good["_id"], "left")
-    return score(docs, fit(marked))
+    """doc_id, n_tokens, background_loss, target_loss (means a token) and difference of every document; the target are those whose label is 1."""
+    good = labels.filter(f"{column} is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias("least")).filter("least = 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    judges, groups = partitions(docs.sparkSession), max(1, exchange.number_of_groups(rows) // 2)
+    # rows without an id are dealt by their texts
+    dealt = rows.withColumn("p", _place(F.coalesce("doc_id", F.xxhash64("text")), groups)).repartition(judges, "p").groupBy("p")
+    good = good.select("doc_id", _place(F.col("doc_id"), groups).alias("p"))
+    sent = dealt.cogroup(good.groupBy("p")).applyInArrow(_send(judges), SENT)
+    answers = sent.groupBy("judge").applyInArrow(_judge, ANSWERED)
+    return dealt.cogroup(answers.groupBy("p")).applyInArrow(_score, SCORES)

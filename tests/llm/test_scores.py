@@ -109,3 +109,14 @@ def test_a_run_without_spaces_is_read_to_its_end():
     assert late > clean and len(head) > 64 and toxicity.core(f"({head})") == head
     assert toxicity.means([head * 2000], numbers) == pytest.approx([float(numbers[toxicity.subwords([head * 2000])[0]].mean(dtype=float))])
     assert not any(len(w) > toxicity.CACHE_LENGTH for w in toxicity._cache["words"])
+
+
+def test_the_models_grow_with_the_corpus(table, spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 300_000, 150))) for i in range(2000)]
+    good = {i: int(i % 3 == 0) for i in range(2000)}
+    vocabulary = len({w for _, t in rows for w in t.split()})
+    assert vocabulary > lm_score.UNIGRAMS
+    want = brute(rows, good, vocabulary)
+    for r in lm_score.cross_entropy_difference(table(rows), spark.createDataFrame(list(good.items()), "doc_id long, quality int")).collect():
+        assert (r.background_loss, r.target_loss) == pytest.approx(want[r.doc_id], abs=1e-6)
