@@ -23,12 +23,18 @@ from marketlens.llm import shared
 from marketlens.llm.textops import unpack_sorted
 
 GROUP_BYTES = 2 << 20
+#: Text whose hashes one judge gets: a judge holds its share in memory, so their number grows with the data.
+JUDGE_BYTES = 64 << 20
 
 
 def number_of_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
     return max(2 * shared.partitions(docs.sparkSession), math.ceil(shared.text_bytes(docs) / group_bytes))
 
 
+def number_of_judges(partitions: int, groups: int, group_bytes: int = GROUP_BYTES) -> int:
+    return max(partitions, groups * group_bytes // JUDGE_BYTES)
+
+
 def group_of(doc_id: str, groups: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(groups)).cast("int")
 
@@ -38,7 +44,7 @@ def grouped_documents(docs: DataFrame, groups: int | None = None) -> tuple[DataF
     n = shared.partitions(docs.sparkSession)
     groups = groups or number_of_groups(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("p", group_of("doc_id", groups)).repartition(n, "p"), n
+    return rows.withColumn("p", group_of("doc_id", groups)).repartition(n, "p"), number_of_judges(n, groups)
 
 
 def in_order(group: pa.Table) -> pa.Table:

@@ -81,7 +81,6 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lines = shared.staged(line_table(docs, least), "lines")  # the only step that takes all lines apart
     first = F.min(F.struct("doc_id", "rid", "at")).alias("first")
     distinct = shared.staged(lines.groupBy("line", "check").agg(first, F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves")), "distinct")
-    shared.release(docs.sparkSession)
 
     keys = distinct.filter("halves is not null").select("line", F.explode("halves").alias("half"))
     halves = keys.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("half")
@@ -90,15 +89,11 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     wanted = live.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid")).agg(F.collect_list("first").alias("firsts"))
     texts = docs.join(wanted, ["doc_id", "rid"]).select(F.split("text", "\n", -1).alias("all"), F.explode("firsts").alias("first"))
     texts = shared.staged(texts.select("first", _words(F.expr("all[first.at]")).alias("w")), "texts")
-    del keys, halves, live, wanted
-    shared.release(docs.sparkSession)
 
     near = near_lines(texts).select("first", F.lit(True).alias("near"))
     known = distinct.select("line", "check", "first", "times").join(near, "first", "left").filter("times > 1 or near")
     gone = lines.select("doc_id", "rid", "at", "line", "check").join(known, ["line", "check"]).filter("near or first <> struct(doc_id, rid, at)")
     gone = shared.staged(gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list("at")).alias("gone")), "gone")
-    del near, known, texts
-    shared.release(docs.sparkSession)
     return gone
 
 

@@ -4,41 +4,42 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark deletes the shuffle files of a query that is done; they else stay until the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named in spark.checkpoint.dir, else the context's checkpoint folder; a local one only where the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/marketlens-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again; its lineage ends there."""
+    """df, written to the shared folder and read again; its lineage ends there, and its shuffles are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done: their plans must be out of scope. Worth it after a shuffle of whole texts."""
-    for _ in range(2):  # the first frees what Python held, and Spark's cleaner works on its own thread
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.25)
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
         jvm = spark.sparkContext._jvm
