@@ -49,6 +49,50 @@ def test_boilerplate_goes(page):
     assert extract(page, WEIGHTS) == TEXT
 
 
+LINKS = "<ul>" + "<li><a href='x'>Some page</a></li>" * 8 + "</ul>"
+UNNAMED = f"<div>Welcome to this site of ours</div>{LINKS}<div>{BODY}</div>{LINKS}<div>All of this is ours to keep</div>"
+
+
+def test_the_scan_and_the_weights_decide(monkeypatch):
+    assert extract(UNNAMED, WEIGHTS) == TEXT
+    flat = {k: 1.0 if k in html_extract.WORDS else -0.5 for k in WEIGHTS}
+    assert extract(UNNAMED, flat) != TEXT
+    monkeypatch.setattr(html_extract, "best_run", lambda scores: (0, len(scores)))
+    assert extract(UNNAMED, WEIGHTS) != TEXT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>A title</title><body><p>{BODY[3:]}",
+        f"<div class='container has-sidebar'><article>{BODY}</article></div>",
+        f"<div class='sidebar'><main>{BODY}</main></div>",
+        f"<div class='sidebar'><article>{BODY}</article></div><p>beside",
+        f"<article><section class='long-form'>{BODY}</section></article>",
+        f"<article>{BODY.replace('<p>', '<p class=follow-up id=tags-explained aria-hidden=false>')}</article>",
+        f"<article>{BODY}<section class='comment-list'><article><p>No, I say</p></article></section></article>",
+        f"<article title='a > b'>{BODY}<svg><text>drawn</text></svg></article>",
+        f"<ul><li><a href=1>Home</li></ul><div>{BODY}</div>",
+    ],
+)
+def test_regions(page):
+    assert extract(page, WEIGHTS) == TEXT
+
+
+def test_formulas_are_text():
+    assert extract("<article><p>So <math><mi>x</mi> = <mn>2</mn></math> holds.</p></article>", WEIGHTS) == "So x = 2 holds."
+
+
+@pytest.mark.parametrize("part", ['"x" ', "a='", "a=\"b' ", "<", "<p ", "</", "<!--", "<script>", "&#", "<a href="])
+def test_time_is_linear(part):
+    import time
+
+    began = time.perf_counter()
+    extract("<p " + part * 100_000, WEIGHTS)
+    extract("<article><p>word</p>" + part * 100_000, WEIGHTS)
+    assert time.perf_counter() - began < 5
+
+
 def test_odd_pages():
     for page in (None, "", " ", "<html></html>", "<script>x", "<!-- ", "<p", "<a href='"):
         assert extract(page, WEIGHTS) == ""
