@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from marketlens.llm import shared
 
 CAPACITY, GRAIN, END_ID = 4096, 32, 2
-#: Words of a worker's token cache; it starts anew beyond that.
-CACHE_WORDS = 500_000
+#: Words of a worker's token cache, and bytes of these and their ids; it starts anew beyond either.
+CACHE_WORDS, CACHE_BYTES = 500_000, 32 << 20
 #: Punctuation that a word-level tokenizer of this family cuts off the end of a word, as one run.
 STOPS = ".,;:!?"
 
@@ -55,12 +55,13 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        self.weight = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def stem(self, text: str) -> bytes:
-        """Ids of letters that the tokenizer keeps together: by its model alone, for Latin letters; else by the whole tokenizer."""
+    def stem(self, text: str) -> bytes | None:
+        """Ids of letters that the tokenizer keeps together, by its model alone, for Latin letters; None of others, which it may not keep apart from what follows."""
         got = self.stems.get(text)
         if got is None:
             if text.isascii():
@@ -68,29 +69,31 @@ class WordEncoder:
             elif max(text) < "\u0250" and (low := self.tok.normalizer.normalize_str(text)).isalpha():
                 low = "".join([self.letters[b] for b in low.encode()])
             else:
-                low = ""
-            got = self.stems[text] = np.array([t.id for t in self.tok.model.tokenize(low)], self.width).tobytes() if low else self.whole(text)
+                return None
+            got = self.stems[text] = np.array([t.id for t in self.tok.model.tokenize(low)], self.width).tobytes()
         return got
 
     def learn(self, words: set[bytes]) -> None:
-        known, stem, stems = self.words, self.stem, self.stems
+        known, stems = self.words, self.stems
         for raw in words:
             word = raw.decode()
             base = word.rstrip(STOPS)
-            if not base.isalpha():
-                known[raw] = self.whole(word)
-            elif base == word:
-                known[raw] = stem(word)
-            else:
+            ids = self.stem(base) if base.isalpha() else None
+            if ids is None:
+                ids = self.whole(word)
+            elif base != word:
                 stops = word[len(base) :]
                 if stops not in stems:
                     stems[stops] = self.whole(stops)
-                known[raw] = stem(base) + stems[stops]
+                ids += stems[stops]
+            known[raw] = ids
+            self.weight += len(raw) + len(ids)
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS or self.weight > CACHE_BYTES:
             self.words.clear()
             self.stems.clear()
+            self.weight = 0
         split = [(t or "").encode().split() for t in texts]
         self.learn(set().union(*split).difference(self.words))
         get = self.words.__getitem__
