@@ -7,7 +7,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 DECONTAMINATION = rf"""
 WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
 b AS (SELECT CAST(item_id AS BIGINT) AS item_id, regexp_extract_all(lower(text), '{WORD}') AS v FROM benchmark WHERE item_id IS NOT NULL),
-items AS (SELECT item_id, v, least(15, len(v)) AS size, least(15, len(v)) - least(15, len(v)) * 3 // 15 AS need FROM b WHERE len(v) >= 10),
+items AS (SELECT item_id, v, least(15, len(v)) AS size, CASE WHEN len(v) < 10 THEN len(v) ELSE least(15, len(v)) - least(15, len(v)) * 3 // 15 END AS need FROM b WHERE len(v) >= 5),
 dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
 bw AS (SELECT item_id, len(v) AS m, size, need, unnest(v) AS word, generate_subscripts(v, 1) - 1 AS j FROM items),
 same AS (SELECT doc_id, item_id, n, m, size, need, i - j AS off, j FROM dw JOIN bw USING (word)),

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 from marketlens.llm import decontam
-from marketlens.llm.decontam import AT_LEAST, MASKS, SPAN, WINDOW
+from marketlens.llm.decontam import AT_LEAST, LEAST, MASKS, SPAN, WINDOW
 
 
 def brute(docs, items):
@@ -15,10 +15,10 @@ def brute(docs, items):
             places[x].append(i)
         for k, item in items:
             v = (item or "").lower().split()
-            if len(v) < SPAN:
+            if len(v) < LEAST:
                 continue
             size = min(WINDOW, len(v))
-            need = size - size * (WINDOW - AT_LEAST) // WINDOW
+            need = size if size < SPAN else size - size * (WINDOW - AT_LEAST) // WINDOW
             offsets = Counter(i - j for j, x in enumerate(v) for i in places.get(x, ()))
             for off, c in offsets.items():
                 same = [0 <= off + j < len(w) and w[off + j] == v[j] for j in range(len(v))]
@@ -61,7 +61,10 @@ def test_documents(spark, data, documents):
 
 def test_without_a_broadcast(spark, data, documents, monkeypatch):
     items = spark.read.parquet(f"{data}/benchmark.parquet")
+    some = spark.createDataFrame([(900 + k, " ".join(r.text.split()[2 : 7 + k])) for k, r in enumerate(documents.filter("length(text) > 100").orderBy("doc_id").limit(8).collect())], "item_id long, text string")
+    items = items.unionByName(some)
     want = sorted(map(tuple, decontam.overlaps(documents, items).collect()))
+    assert {r[1] for r in want} & set(range(900, 908))
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, decontam.overlaps(documents, items).collect())) == want
 
@@ -78,6 +81,13 @@ def test_empty_and_odd_items(spark, table):
 
 def test_all_substitutions_that_are_allowed_are_found(spark, table):
     items, rows = [], []
+    for n in range(1, SPAN):  # whole, at the start, within and at the end of a text, with and without a difference
+        words = [f"i{n}.{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        for k, gone in enumerate([None, *range(n)]):
+            text = " ".join("x" if j == gone else w for j, w in enumerate(words))
+            rows += [(100_000 * n + 10 * k + i, f"{a}{text}{b}") for i, (a, b) in enumerate([("", ""), ("pre ", ""), ("", " post"), ("a b c d e f g ", " h i j")])]
+    assert {k for _, k in brute(rows, items)} == {5, 6, 7, 8, 9}
     for n in range(SPAN, WINDOW + 1):
         words = [f"i{n}.{j}" for j in range(n)]
         items.append((n, " ".join(words)))
@@ -86,4 +96,12 @@ def test_all_substitutions_that_are_allowed_are_found(spark, table):
         rows.append((1000 * n + len(rows), " ".join(words[:-3] + ["x"] * 4)) if n < WINDOW else (7, " ".join(words[:-4] + ["x"] * 5)))  # one too many
     its = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.overlaps(table(rows), its).collect()}
-    assert got == brute(rows, items) and len(got) == 45 + 55 + 66 + 78 + 91 + 455
+    assert got == brute(rows, items) and len(got) == 5 * 4 + 45 + 55 + 66 + 78 + 91 + 455
+
+
+def test_rows_that_repeat_an_id_are_judged_apart(spark, table):
+    text = " ".join(f"w{i}" for i in range(16))
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    rows = [(1, f"a {text} b"), (1, "clean words"), (None, text), (None, "clean"), (2, None)]
+    kept = [(r.doc_id, r.text) for r in decontam.decontaminated(table(rows, clash=True), items).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "clean words"), (None, "clean"), (2, None)], key=str)
