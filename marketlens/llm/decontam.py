@@ -110,4 +110,4 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose text overlaps an item."""
     bad = _found(docs, items).select(F.col("rid").alias("_bad")).distinct()
-    return docs.join(bad, _row_name() == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == bad["_bad"], "left_anti")
