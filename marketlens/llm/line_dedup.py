@@ -97,9 +97,9 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return gone
 
 
-def remove_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with `text` without the lines that go, and n_lines and n_removed (its lines with words, and those that went)."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+def remove_lines(docs: DataFrame, least: int = LEAST, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with `text` without the lines that go, and its lines with words and those that went, under the names `counts`, which replace docs' own."""
+    own = [c for c in docs.columns if c not in counts]
     rid = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text"))
     gone = removed_lines(slim.filter("text is not null and doc_id is not null"), least)
@@ -109,9 +109,9 @@ def remove_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # a line's place is looked up in a map of places, so many removed lines cost no more each
     kept = F.expr("if(gone is null, text, array_join(transform(filter(transform(all, (x, i) -> struct(x as x, i as i)), y -> not map_contains_key(map_from_arrays(gone, gone), y.i)), y -> y.x), '\n'))")
     lines = F.coalesce(F.size(F.filter("all", lambda x: x.rlike(SOLID))), F.lit(0))
-    out = out.select("doc_id", kept.alias("text"), "rest", lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    out = out.select("doc_id", kept.alias("text"), "rest", lines.cast("long").alias(counts[0]), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(counts[1]))
     column = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"rest.`{c}`") for c in extra}
-    return out.select(*[column[c].alias(c) for c in own], "n_lines", "n_removed")
+    return out.select(*[column[c].alias(c) for c in own], *counts)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -108,3 +108,89 @@ def test_a_giant_labelled_text_leaves_the_rest_of_the_sample(spark, monkeypatch)
         docs = spark.createDataFrame([*giant, *[(i, "ten bytes.") for i in rest if i != giant[-1][0]]], "doc_id long, text string")
         got = {r.id for r in toxicity.labelled_sample(docs, labels, 20).collect()}
         assert len(got) >= 19 and giant[-1][0] not in got
+
+
+ODD = {"p": 1, "n": 2, "rid": "r", "gone": "g", "all": "a", "rest": "x", "node": 3, "judge": 4, "line": "l", "score": 0.25, "predicted": 1, "tokens": "t", "key": "k", "component_id": 9, "kept": False, "n_removed": 7, "n_lines": 8, "text_hash": 5, "_gone": 6, "_hash": 6, "_bad": 2, "_id": 1}
+
+
+def odd_table(spark, rows):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(d, t, "en", "src", None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit(v) for c, v in ODD.items()})
+
+
+def folder(spark, path, labels, items):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+LONG = " ".join(f"long{i}" for i in range(30_000))
+ITEM = " ".join(f"item{i}" for i in range(16))
+BASE = " ".join(f"b{i}" for i in range(60))
+
+
+def test_odd_rows_in_each_stage(spark, tmp_path):
+    where = folder(spark, tmp_path, [(None, 1, 1), (500, None, None)], [(1, ITEM), (None, ITEM), (2, None), (3, "tiny")])
+    rows = [
+        (1, BASE), (2, None), (3, ""), (4, " \n\t\n"), (5, BASE), (5, "another text of the same id, which nothing else has"), (5, BASE), (6, BASE + " more"),
+        (None, BASE), (None, None), (7, LONG), (8, f"a {ITEM} b"), (9, f"x\n{BASE}"), (10, f"a {ITEM} b"), (11, "its own"), (11, "its own"),
+    ]
+    docs = odd_table(spark, rows)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert texts(corpus_pipeline.drop_toxic(spark, docs, where)) == sorted(rows, key=str)
+    lines = corpus_pipeline.drop_lines(spark, docs, where)
+    own = "another text of the same id, which nothing else has"
+    assert texts(lines) == sorted([(1, BASE), (2, None), (3, ""), (4, " \n\t\n"), (5, own), (None, BASE), (None, None), (7, LONG), (8, f"a {ITEM} b"), (9, "x"), (11, "its own"), (11, "its own")], key=str)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, where)
+    assert texts(near) == sorted([(1, BASE), (2, None), (3, ""), (4, " \n\t\n"), (5, own), (None, BASE), (None, None), (7, LONG), (8, f"a {ITEM} b"), (11, "its own")], key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, where)
+    assert texts(clean) == sorted([x for x in rows if x[0] not in (8, 10)], key=str)
+    for out in (lines, near, clean):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert {c: r[c] for c in ODD} == ODD
+
+
+def test_empty_tables(spark, tmp_path, tokenizer):
+    where = folder(spark, tmp_path, [], [])
+    docs = odd_table(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, where).collect() == []
+    docs = odd_table(spark, [(1, "a b c d e f"), (2, None)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, where).count() == 2
+
+
+def by_hand(text, numbers, bias):
+    """The score of a text, a subword at a time."""
+    import math
+    import re
+    import zlib
+
+    from marketlens.llm import toxicity
+
+    mask, total, words = (1 << 64) - 1, 0.0, (text or "").lower().split()
+    for word in words:
+        form = ("<" + (re.sub(r"^\W+|\W+$", "", word) or word) + ">").encode()
+        values = [float(numbers[zlib.crc32(form) % toxicity.BUCKETS])]
+        for n in toxicity.GRAMS:
+            for i in range(len(form) - n + 1):
+                h = n
+                for byte in form[i : i + n]:
+                    h = (h + byte) * 0x9E3779B97F4A7C15 & mask
+                    h ^= h >> 29
+                values.append(float(numbers[(h >> 20) % toxicity.BUCKETS]))
+        total += sum(values) / len(values)
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, total / max(len(words), 1) + bias))))
+
+
+def test_the_toxicity_stage_by_hand(spark, data):
+    from marketlens.llm import toxicity
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    want = {r.doc_id for r in docs.collect() if by_hand(r.text, *model) < 0.5}
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, data).collect()} == want
+    assert len(want) < docs.count()
