@@ -1,13 +1,12 @@
 """Exact repeats of long word sequences, found by fixed-block anchors.
 
 A window of `size` words always holds one of its document's non-overlapping
-blocks of size // 2 words. The blocks are indexed by hash; every rolling window of
-that many words probes the index. A hit is extended over the words around it: a
-stretch in which every rolling window occurs elsewhere and one meets an
-indexed block may hold repeats of `size` words, and each such window of `size`
-words is compared by a 96-bit hash of all its words with those of other
-documents. Overlapping repeats merge to maximal ones, and the earliest place of each
-window keeps it. Blocks and probes meet as sorted hashes (see `exchange`).
+blocks of size // 2 words, so where it occurs again, a rolling window of that many words
+equals that block. The blocks are indexed by hash; every rolling window
+probes the index, and hits if a block of another place has its words. A hit is extended over the words around it:
+each window of `size` words that holds a hit is compared by a 96-bit hash of all its words with those of
+all documents, and windows without one occur once and go no further. Overlapping repeats merge to maximal
+ones, and the earliest place of each window keeps it. Blocks and probes meet as sorted hashes (see `exchange`).
 
 Defined cases: null and empty texts have no words, and texts shorter than a window
 lose none; a text of one repeated word loses all but the first window's words; rows that
@@ -33,7 +32,7 @@ SIZE = 20
 SECOND_BASE = np.uint64(0xA0761D6478BD642F)
 #: Bits of a probe that travel; the rest are decided by the windows' own hashes.
 PROBE_SHIFT = np.uint64(18)
-PROBES = "judge int, p int, hashes binary, repeated binary, blocks binary"
+PROBES = "judge int, p int, hashes binary, blocks binary, twice binary"
 WINDOWS = "judge int, p int, hashes binary, checks binary, docs binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept string, removed array<int>"
 
@@ -51,23 +50,20 @@ class Group:
         self.hash = span_hashes(IMAGE[self.texts.data], self.start, self.end, BASE)
         self.where = windows(self.at, self.block)
         rolling = span_hashes(self.hash, self.where, self.where + self.block, WORD_BASE) >> PROBE_SHIFT << PROBE_SHIFT
-        self.probes, self.which, count = np.unique(rolling, return_inverse=True, return_counts=True)
-        self.repeated = count > 1
+        self.probes, self.which = np.unique(rolling, return_inverse=True)
         first = np.repeat(self.at[:-1], np.diff(self.at))
-        own_block = (self.where - first[self.where]) % self.block == 0
-        self.blocks = np.zeros(len(self.probes), bool)
-        self.blocks[self.which[own_block]] = True
+        self.own_block = (self.where - first[self.where]) % self.block == 0
+        #: how many of the group's blocks have a probe's words
+        self.blocks = np.bincount(self.which[self.own_block], minlength=len(self.probes))
 
-    def extend(self, repeated: np.ndarray, blocked: np.ndarray) -> None:
-        """Windows of `size` words around hits, by hash; first: the earliest of each in the group."""
+    def extend(self, indexed: np.ndarray, twice: np.ndarray) -> None:
+        """Windows of `size` words around hits, by hash; first: the earliest of each in the group. indexed, twice: probes that some block, and more than one, has."""
         n, span = int(self.at[-1]), self.size - self.block + 1
-        both = np.zeros((2, n + 1), np.int32)
-        both[0, 1:][self.where] = repeated[self.which]
-        both[1, 1:][self.where] = (repeated & blocked)[self.which]
-        sums = np.cumsum(both, axis=1)
+        hits = np.zeros(n + 1, np.int32)
+        hits[1:][self.where] = np.where(self.own_block, twice[self.which], indexed[self.which])  # a block doesn't hit itself
+        sums = np.cumsum(hits)
         where = windows(self.at, self.size)
-        all_of, some = (sums[k][where + span] - sums[k][where] for k in (0, 1))
-        self.found = where[(all_of == span) & (some > 0)]
+        self.found = where[sums[where + span] > sums[where]]
         h = span_hashes(self.hash, self.found, self.found + self.size, SECOND_BASE)
         self.keys, self.first, self.key_of = np.unique(h, return_index=True, return_inverse=True)
         at = self.found[self.first]
@@ -80,7 +76,7 @@ def _send_probes(size: int, judges: int):
         g = Group(group, size)
         g.probe()
         p, cuts = group.column("p")[0].as_py(), exchange.judge_cuts(g.probes, judges)
-        rows = [(j, p, pack_sorted(g.probes[a:b] >> PROBE_SHIFT), np.packbits(g.repeated[a:b]).tobytes(), np.packbits(g.blocks[a:b]).tobytes()) for j, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows = [(j, p, pack_sorted(g.probes[a:b] >> PROBE_SHIFT), np.packbits(g.blocks[a:b] > 0).tobytes(), np.packbits(g.blocks[a:b] > 1).tobytes()) for j, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         yield exchange.batch(rows, PROBES)
 
     return step
@@ -92,15 +88,14 @@ def _judge_probes(key: tuple, got: pa.Table) -> pa.Table:
     sizes = [len(x) for x in parts]
     every, which = np.unique(np.concatenate(parts), return_inverse=True)
     spread = lambda name: np.concatenate([exchange.flags(b, n) for b, n in zip(got.column(name).to_pylist(), sizes)])
-    repeated = np.bincount(which, 1 + spread("repeated"), len(every)) > 1
-    blocked = np.bincount(which, spread("blocks"), len(every)) > 0
+    blocks = np.bincount(which, spread("blocks") + spread("twice").astype(int), len(every))  # the index
     at, asked, bits = 0, [], []
     for q, n in zip(p, sizes):
-        mine = which[at : at + n]
+        found = blocks[which[at : at + n]]
         at += n
-        if repeated[mine].any():
+        if found.any():
             asked.append(q)
-            bits.append(np.packbits(np.concatenate([repeated[mine], blocked[mine]])).tobytes())
+            bits.append(np.packbits(np.concatenate([found > 0, found > 1])).tobytes())
     return exchange.answer_table(asked, 0, key[0].as_py(), bits)
 
 

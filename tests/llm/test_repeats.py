@@ -93,3 +93,20 @@ def test_merge_is_a_sort_with_common_prefixes():
             assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
         for run in range(runs):
             assert [t for r, _, t in out if r == run] == keys[run]
+
+
+def test_the_block_index_decides_which_windows_are_compared():
+    import pyarrow as pa
+
+    own = [f"w{i}" for i in range(60)]
+    texts = [" ".join(own), " ".join(["x1", "x2", "x3", *own[13:47], *(f"y{i}" for i in range(30))]), " ".join(f"z{i}" for i in range(50)), " ".join(own[:15] + ["q"] * 3)]
+    g = block_dedup.Group(pa.table([pa.array(range(4), pa.int64()), pa.array(texts)], names=["doc_id", "text"]), 20)
+    g.probe()
+    g.extend(g.blocks > 0, g.blocks > 1)
+    at = g.at.tolist()
+    found = set(g.found.tolist())
+    # every window that occurs twice holds a hit, and texts without a repeated block have none
+    assert {13 + i for i in range(15)} | {at[1] + 3 + i for i in range(15)} <= found
+    assert not [x for x in found if at[2] <= x < at[3]] and len(found) < 60
+    g.extend(np.zeros(len(g.probes), bool), np.zeros(len(g.probes), bool))
+    assert not len(g.found)
