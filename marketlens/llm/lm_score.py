@@ -1,118 +1,44 @@
-"""Cross-entropy difference of two n-gram models over one vocabulary.
+"""Cross-entropy difference of two matched n-gram models over one vocabulary.
 
 The target model counts the documents labelled as good, the background model all
 documents. Both are interpolated word bigram models of real words and word pairs, by 64-bit
 hashes, so the models grow with the corpus and the counts cover every
-document. A pair's conditional probability is (pair count + PRIOR * p(word)) /
+document. They are matched: the background's counts are weighed by the target's tokens over its own,
+so that both weigh as many tokens against the same PRIOR, and the difference doesn't tell how much text either saw.
+A pair's conditional probability is (pair count + PRIOR * p(word)) /
 (context count + PRIOR), and p(word) is smoothed by one over the vocabulary: all distinct words of the
-corpus, or UNIGRAMS if they are fewer. A document's score is its
+corpus, or LEAST_WORDS if they are fewer. A document's score is its
 mean loss a token under the target model minus that under the background model:
-lower is closer to the target. Documents are split in two folds by a hash of doc_id, and each is
-scored by the models of the other fold, so no document is scored by its own counts.
+lower is closer to the target. Each document is scored by the counts of all others: its own are taken
+off first, in both models if it is in both. So a document that occurs twice is known to the background.
 
-Documents are dealt into groups of one fold. A group sends each judge (a range of hashes) its
-distinct words and pairs with their counts; the judge answers with the counts of the other fold, the
+Documents are dealt into groups. A group sends each judge (a range of hashes) its
+distinct words and pairs with their counts; the judge answers with the corpus' counts, the
 tokens and the words of its range, and the group, read again, scores its documents. So no task
-holds a whole model. `fit` counts into fixed slots; the query doesn't use it.
+holds a whole model.
 
 Defined cases: a null, empty or word-less text has no tokens and scores 0 in all
 columns; labels that are null or contradict each other mark no target; without a
-target the models are equal and each difference is the models' smoothing alone;
+target both models know nothing and each difference is 0;
 rows that repeat a doc_id, or have none, are counted and scored each; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import exchange
 from marketlens.llm.shared import partitions
-from marketlens.llm.textops import BASE, IMAGE, LOWER, WORD_BASE, Texts, chunks, mix, pack_numbers, pack_sorted, span_hashes, unpack_numbers, unpack_sorted
+from marketlens.llm.textops import BASE, IMAGE, LOWER, WORD_BASE, Texts, mix, pack_numbers, pack_sorted, span_hashes, unpack_numbers, unpack_sorted
 
-UNIGRAMS, BIGRAMS = 1 << 17, 1 << 20
-BLOCK = 1 << 14
+LEAST_WORDS = 1 << 17
 PRIOR = 2.0
-BATCH_BYTES = 2 << 20
 _U = np.uint64
 
-
-def slots(texts: Texts, unigrams: int = UNIGRAMS, bigrams: int = BIGRAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word slot, pair slot, context slot, first token of each text and the end); a text's first word follows the boundary, the slot 0."""
-    start, end, at = texts.words()
-    h = span_hashes(IMAGE[LOWER[texts.data]], start, end, BASE)
-    word = (h % _U(unigrams - 1)).astype(np.int64) + 1
-    context = np.zeros(len(h), np.int64)
-    context[1:] = word[:-1]
-    before = np.zeros(len(h), np.uint64)
-    before[1:] = h[:-1]
-    first = at[:-1][np.diff(at) > 0]
-    context[first] = 0
-    before[first] = 0
-    pair = (((before * WORD_BASE) ^ h) * _U(0x9E3779B97F4A7C15) >> _U(20)) % _U(bigrams)
-    return word, pair.astype(np.int64), context, at
-
-
-def fold_of(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(2)).cast("int")
-
-
-def _count(unigrams: int, bigrams: int):
-    """Of a partition: counts of background and target in the first fold and in the second, by slot, words before pairs; a row a block of slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, unigrams + bigrams), np.int64)
-        for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            fold = batch.column("fold").to_numpy()
-            for a, b in chunks(np.diff(Texts.of(batch.column("text")).at), BATCH_BYTES):
-                word, pair, _, at = slots(Texts.of(batch.column("text").slice(a, b - a)), unigrams, bigrams)
-                n = np.diff(at)
-                for row in range(4):
-                    docs = (fold[a:b] == row // 2) & (target[a:b] | (row % 2 == 0))
-                    pick = np.repeat(docs, n)
-                    total[row, :unigrams] += np.bincount(word[pick], minlength=unigrams)
-                    total[row, unigrams:] += np.bincount(pair[pick], minlength=bigrams)
-                    total[row, 0] += int(((n > 0) & docs).sum())
-        pack = zstandard.ZstdCompressor(level=1)
-        for block, at in enumerate(range(0, unigrams + bigrams, BLOCK)):
-            part = np.ascontiguousarray(total[:, at : at + BLOCK])
-            if part.any():  # planes of bytes: the high ones are zeros
-                planes = part.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([pack.compress(planes)], pa.binary())], names=["block", "counts"])
-
-    return run
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of blocks as they come in: a task holds its few blocks, not the rows that it reads."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint8).reshape(8, -1)
-            part = np.ascontiguousarray(planes.T).view("<i8").reshape(4, -1)
-            held[block] = held[block] + part if block in held else part
-    for block, part in held.items():
-        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
-
-
-def fit(docs: DataFrame, unigrams: int = UNIGRAMS, bigrams: int = BIGRAMS) -> np.ndarray:
-    """Counts by fold, model and slot; docs: doc_id, text and target (boolean). The driver gets unigrams + bigrams slots, in blocks."""
-    marked = docs.select(F.col("text").cast("string").alias("text"), F.coalesce("target", F.lit(False)).alias("target"), fold_of().alias("fold"))
-    parts = marked.mapInArrow(_count(unigrams, bigrams), "block int, counts binary")
-    summed = parts.repartition(partitions(docs.sparkSession), "block").mapInArrow(_sum, "block int, counts binary")
-    total = np.zeros((4, unigrams + bigrams), np.float32)
-    for row in summed.toLocalIterator():
-        at = row.block * BLOCK
-        total[:, at : at + BLOCK] = np.frombuffer(row.counts, "<i8").reshape(4, -1)
-    return total.reshape(2, 2, -1)
-
-
 SENT = "judge int, p int, words binary, word_counts binary, word_targets binary, pairs binary, pair_counts binary, pair_targets binary"
 ANSWERED = "p int, judge int, words binary, pairs binary, totals array<long>"
 SCORES = "doc_id long, n_tokens long, background_loss double, target_loss double, difference double"
@@ -128,23 +54,35 @@ def ngrams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return word, mix((context * WORD_BASE) ^ word), context, at
 
 
-def _place(key: Column, groups: int) -> Column:
-    """A group of one fold."""
-    return (F.pmod(F.xxhash64(F.lit(11), key), F.lit(groups)) * 2 + fold_of()).cast("int")
+class Group:
+    """A group's n-grams, the same whenever it is read."""
+
+    def __init__(self, group: pa.Table):
+        word, pair, context, self.at = ngrams(Texts.of(exchange.column(group, "text")))
+        self.n = np.diff(self.at)
+        self.full = np.flatnonzero(self.n)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        # the boundary is a word that each text with words has once
+        self.words, which = np.unique(np.concatenate([np.zeros(len(self.full), np.uint64), word]), return_inverse=True)
+        self.boundaries, self.word = which[: len(self.full)], which[len(self.full) :]
+        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.before = np.searchsorted(self.words, context)
+
+    def own(self, which: np.ndarray, size: int) -> np.ndarray:
+        """How often each token's n-gram occurs in its own document."""
+        _, at, count = np.unique(self.doc * np.int64(size + 1) + which, return_inverse=True, return_counts=True)
+        return count[at]
 
 
 def _send(judges: int):
     def run(key: tuple, group: pa.Table, good: pa.Table) -> pa.Table:
         rows = []
         if group.num_rows:
-            word, pair, _, at = ngrams(Texts.of(exchange.column(group, "text")))
-            n, targets = np.diff(at), set(good.column("doc_id").to_pylist())
+            g = Group(group)
+            targets = set(good.column("doc_id").to_pylist())
             target = np.array([d in targets for d in group.column("doc_id").to_pylist()], bool)
-            # the boundary is a word that each text with words has once
-            boundary = np.zeros(int((n > 0).sum()), np.uint64)
             sides = []
-            for values, marks in ((np.concatenate([boundary, word]), np.concatenate([target[n > 0], np.repeat(target, n)])), (pair, np.repeat(target, n))):
-                hashes, which = np.unique(values, return_inverse=True)
+            for hashes, which, marks in ((g.words, np.concatenate([g.boundaries, g.word]), np.concatenate([target[g.full], target[g.doc]])), (g.pairs, g.pair, target[g.doc])):
                 sides.append((hashes, np.bincount(which, minlength=len(hashes)), np.bincount(which[marks], minlength=len(hashes)), exchange.judge_cuts(hashes, judges)))
             for j in range(judges):  # a row for every judge: its totals are part of the answer
                 row = []
@@ -166,48 +104,47 @@ def _unplanes(blob: bytes) -> np.ndarray:
 
 
 def _judge(key: tuple, got: pa.Table) -> pa.Table:
-    """To each group, the other fold's counts of its words and pairs under background and target, and this range's tokens in both and its words."""
+    """To each group, the corpus' counts of its words and pairs in all documents and in the target, and this range's tokens in both and its words."""
     p = got.column("p").to_pylist()
-    fold = np.array(p) % 2
     blobs, totals = [], None
     for name in ("word", "pair"):
         parts = [unpack_sorted(x) for x in got.column(f"{name}s").to_pylist()]
-        sizes = [len(x) for x in parts]
         every, which = np.unique(np.concatenate(parts), return_inverse=True)
-        folds, sums = np.repeat(fold, sizes), {}
-        for k, c in enumerate((f"{name}_counts", f"{name}_targets")):
-            count = np.concatenate([unpack_numbers(x) for x in got.column(c).to_pylist()])
-            for f in (0, 1):
-                sums[f, k] = np.bincount(which, count * (folds == f), len(every)).astype(np.int64)
+        sums = [np.bincount(which, np.concatenate([unpack_numbers(x) for x in got.column(c).to_pylist()]), len(every)).astype(np.int64) for c in (f"{name}_counts", f"{name}_targets")]
         if totals is None:
             real = every != 0
-            totals = {f: [int(sums[f, 0][real].sum()), int(sums[f, 1][real].sum()), int(real.sum())] for f in (0, 1)}
-        at = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-        blobs.append([_planes(np.concatenate([sums[1 - f, 0][which[a:b]], sums[1 - f, 1][which[a:b]]])) for f, a, b in zip(fold, at, at[1:])])
-    rows = [(q, key[0].as_py(), w, x, totals[1 - q % 2]) for q, w, x in zip(p, *blobs)]
+            totals = [int(sums[0][real].sum()), int(sums[1][real].sum()), int(real.sum())]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(int)
+        blobs.append([_planes(np.concatenate([sums[0][which[a:b]], sums[1][which[a:b]]])) for a, b in zip(at, at[1:])])
+    rows = [(q, key[0].as_py(), w, x, totals) for q, w, x in zip(p, *blobs)]
     return pa.Table.from_batches([exchange.batch(rows, ANSWERED)])
 
 
-def _score(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
     schema = _score_schema()
     if not group.num_rows:
         return schema.empty_table()
-    word, pair, context, at = ngrams(Texts.of(exchange.column(group, "text")))
-    n = np.diff(at)
-    answers = answers.sort_by("judge")
+    g = Group(group)
+    targets = {d for d in told.column("doc_id").to_pylist() if d is not None}
+    target = np.array([d in targets for d in group.column("doc_id").to_pylist()], bool)
+    answers = told.filter(pc.is_valid(told.column("judge"))).sort_by("judge")
     counts = [np.concatenate([np.zeros((2, 0), np.int64), *(_unplanes(x).reshape(2, -1) for x in answers.column(c).to_pylist())], axis=1) for c in ("words", "pairs")]
-    tokens_background, tokens_target, vocabulary = np.sum(answers.column("totals").to_pylist(), axis=0)
-    mean = np.zeros((len(n), 2))
-    if len(word):
-        words, pairs = np.unique(np.concatenate([[_U(0)], word])), np.unique(pair)
-        where, before, which = np.searchsorted(words, word), np.searchsorted(words, context), np.searchsorted(pairs, pair)
-        full = np.flatnonzero(n)
-        for k, tokens in enumerate((tokens_background, tokens_target)):
-            alone, both = counts[0][k], counts[1][k][which]
-            p = (alone[where] + 1) / (tokens + max(UNIGRAMS, vocabulary))
-            loss = -np.log((both + PRIOR * p) / (np.maximum(alone[before], both) + PRIOR))
-            mean[full, k] = np.add.reduceat(loss, at[:-1][full]) / n[full]
-    return pa.table([exchange.column(group, "doc_id"), pa.array(n, pa.int64()), pa.array(mean[:, 0]), pa.array(mean[:, 1]), pa.array(mean[:, 1] - mean[:, 0])], schema=schema)
+    tokens, target_tokens, vocabulary = np.sum(answers.column("totals").to_pylist(), axis=0)
+    mean = np.zeros((len(g.n), 2))
+    if len(g.word):
+        own_word, own_pair = g.own(g.word, len(g.words)), g.own(g.pair, len(g.pairs))
+        own_before = np.ones(len(g.word), np.int64)
+        own_before[1:] = own_word[:-1]
+        own_before[g.at[:-1][g.full]] = 1
+        for k, (total, weight) in enumerate(((tokens, min(1.0, target_tokens / tokens)), (target_tokens, 1.0))):
+            mine = (target if k else np.ones(len(target), bool))[g.doc]  # whose counts are in this model
+            alone = weight * (counts[0][k][g.word] - own_word * mine)
+            both = weight * (counts[1][k][g.pair] - own_pair * mine)
+            before = weight * (counts[0][k][g.before] - own_before * mine)
+            p = (alone + 1) / (weight * (total - g.n[g.doc] * mine) + max(LEAST_WORDS, vocabulary))
+            loss = -np.log((both + PRIOR * p) / (np.maximum(before, both) + PRIOR))
+            mean[g.full, k] = np.add.reduceat(loss, g.at[:-1][g.full]) / g.n[g.full]
+    return pa.table([exchange.column(group, "doc_id"), pa.array(g.n, pa.int64()), pa.array(mean[:, 0]), pa.array(mean[:, 1]), pa.array(mean[:, 1] - mean[:, 0])], schema=schema)
 
 
 def _score_schema() -> pa.Schema:
@@ -218,10 +155,13 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, column: str = "
     """doc_id, n_tokens, background_loss, target_loss (means a token) and difference of every document; the target are those whose label is 1."""
     good = labels.filter(f"{column} is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias("least")).filter("least = 1")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    judges, groups = partitions(docs.sparkSession), max(1, exchange.number_of_groups(rows) // 2)
+    n, groups = partitions(docs.sparkSession), exchange.number_of_groups(rows)
+    judges = exchange.number_of_judges(n, groups)
+    place = lambda key: F.pmod(F.xxhash64(F.lit(11), key), F.lit(groups)).cast("int")
     # rows without an id are dealt by their texts
-    dealt = rows.withColumn("p", _place(F.coalesce("doc_id", F.xxhash64("text")), groups)).repartition(judges, "p").groupBy("p")
-    good = good.select("doc_id", _place(F.col("doc_id"), groups).alias("p"))
+    dealt = rows.withColumn("p", place(F.coalesce("doc_id", F.xxhash64("text")))).repartition(n, "p").groupBy("p")
+    good = good.select("doc_id", place(F.col("doc_id")).alias("p"))
     sent = dealt.cogroup(good.groupBy("p")).applyInArrow(_send(judges), SENT)
-    answers = sent.groupBy("judge").applyInArrow(_judge, ANSWERED)
-    return dealt.cogroup(answers.groupBy("p")).applyInArrow(_score, SCORES)
+    answers = sent.groupBy("judge").applyInArrow(_judge, ANSWERED).withColumn("doc_id", F.lit(None).cast("long"))
+    told = answers.unionByName(good, allowMissingColumns=True)
+    return dealt.cogroup(told.groupBy("p")).applyInArrow(_score, SCORES)

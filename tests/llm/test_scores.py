@@ -58,26 +58,31 @@ def test_columns_nulls_and_no_labels(spark, table):
     assert toxicity.held_out_scores(table([]), none).collect() == []
 
 
-def brute(rows, quality, slots=lm_score.UNIGRAMS):
-    fold = lambda d: zlib.crc32(str(d).encode()) % 2
-    words = [(d, (t or "").encode().lower().split()) for d, t in rows]
-    models = {(f, k): (Counter(), Counter()) for f in (0, 1) for k in (0, 1)}
-    for d, w in words:
-        for k in (0, 1):
-            if w and (k == 0 or quality.get(d) == 1):
-                alone, both = models[fold(d), k]
-                alone[None] += 1
-                alone.update(w)
+def brute(rows, quality, words=lm_score.LEAST_WORDS):
+    """(background, target) of each row, from models of all other rows."""
+    split = [(t or "").encode().lower().split() for _, t in rows]
+    good = [quality.get(d) == 1 for d, _ in rows]
+    tokens = [sum(map(len, split)), sum(len(w) for w, g in zip(split, good) if g)]
+    models = []
+    for k in (0, 1):
+        alone, both = Counter(), Counter()
+        for w, g in zip(split, good):
+            if w and (k == 0 or g):
+                alone.update([None, *w])
                 both.update(zip([None, *w], w))
-    out = {}
-    for d, w in words:
+        models.append((alone, both))
+    out = []
+    for w, g in zip(split, good):
         mean = []
+        own_alone, own_both = Counter([None, *w]), Counter(zip([None, *w], w))
         for k in (0, 1):
-            alone, both = models[1 - fold(d), k]
-            total = sum(alone.values()) - alone[None]
-            p = lambda y: (alone[y] + 1) / (total + slots)  # noqa: B023, E731
-            mean.append(sum(-math.log((both[x, y] + lm_score.PRIOR * p(y)) / (max(alone[x], both[x, y]) + lm_score.PRIOR)) for x, y in zip([None, *w], w)) / max(len(w), 1))
-        out[d] = mean
+            weight = min(1, tokens[1] / max(tokens[0], 1)) if k == 0 else 1
+            mine = k == 0 or g
+            alone = lambda y: weight * (models[k][0][y] - mine * own_alone[y])  # noqa: B023, E731
+            both = lambda x, y: weight * (models[k][1][x, y] - mine * own_both[x, y])  # noqa: B023, E731
+            p = lambda y: (alone(y) + 1) / (weight * (tokens[k] - mine * len(w)) + words)  # noqa: B023, E731
+            mean.append(sum(-math.log((both(x, y) + lm_score.PRIOR * p(y)) / (max(alone(x), both(x, y)) + lm_score.PRIOR)) for x, y in zip([None, *w], w)) / max(len(w), 1))
+        out.append(mean)
     return out
 
 
@@ -85,19 +90,31 @@ def test_cross_entropy_of_few_words_is_exact(spark, table):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(1, 30)))) for i in range(80)] + [(100, None), (101, "")]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, quality int")
-    want = brute(rows, {i: int(i % 3 == 0) for i in range(80)})
+    want = dict(zip((d for d, _ in rows), brute(rows, {i: int(i % 3 == 0) for i in range(80)})))
     got = lm_score.cross_entropy_difference(table(rows, clash=True), labels).collect()
     assert len(got) == len(rows)
     for r in got:
         b, t = want[r.doc_id]
-        assert r.background_loss == pytest.approx(b, abs=1e-4) and r.target_loss == pytest.approx(t, abs=1e-4) and r.difference == pytest.approx(t - b, abs=1e-4)
+        assert (r.background_loss, r.target_loss, r.difference) == pytest.approx((b, t, t - b), abs=1e-9)
     assert lm_score.cross_entropy_difference(table([]), labels).collect() == []
+    assert {r.difference for r in lm_score.cross_entropy_difference(table(rows), labels.filter("quality = 0")).collect()} == {0.0}
+
+
+def test_rows_that_repeat_or_have_no_id(spark, table):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d"), (None, "a b"), (None, None), (2, "a b d")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    got = lm_score.cross_entropy_difference(table(rows), labels).collect()
+    want = [(d, len((t or "").split()), round(b, 9), round(x, 9)) for (d, t), (b, x) in zip(rows, brute(rows, {1: 1}))]
+    assert sorted([(r.doc_id, r.n_tokens, round(r.background_loss, 9), round(r.target_loss, 9)) for r in got], key=str) == sorted(want, key=str)
 
 
-def test_counts_cover_all_documents(documents):
-    counts = lm_score.fit(documents.withColumn("target", F.lit(True)))
-    words = sum(len((r.text or "").encode().split()) for r in documents.collect())
-    assert counts[:, 0, 1 : lm_score.UNIGRAMS].sum() == words == counts[:, 1, lm_score.UNIGRAMS :].sum()
+def test_a_second_copy_is_known_to_the_background(spark, table):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 4000, 40))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    labels = spark.createDataFrame([(i, int(i >= 20)) for i in range(120)], "doc_id long, quality int")
+    got = {r.doc_id: r.difference for r in lm_score.cross_entropy_difference(table(rows), labels).collect()}
+    assert min(got[i] for i in [*range(20), *range(1000, 1020)]) > max(got[i] for i in range(20, 300)) + 1
 
 
 def test_a_run_without_spaces_is_read_to_its_end():
@@ -116,7 +133,7 @@ def test_the_models_grow_with_the_corpus(table, spark):
     rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 300_000, 150))) for i in range(2000)]
     good = {i: int(i % 3 == 0) for i in range(2000)}
     vocabulary = len({w for _, t in rows for w in t.split()})
-    assert vocabulary > lm_score.UNIGRAMS
-    want = brute(rows, good, vocabulary)
+    assert vocabulary > lm_score.LEAST_WORDS
+    want = dict(zip((d for d, _ in rows), brute(rows, good, vocabulary)))
     for r in lm_score.cross_entropy_difference(table(rows), spark.createDataFrame(list(good.items()), "doc_id long, quality int")).collect():
-        assert (r.background_loss, r.target_loss) == pytest.approx(want[r.doc_id], abs=1e-6)
+        assert [r.background_loss, r.target_loss] == pytest.approx(want[r.doc_id], abs=1e-9)
