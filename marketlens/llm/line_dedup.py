@@ -1,18 +1,19 @@
 """Near-equal lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are sequences of words (space and 0x09-0x0D part them). Two lines are near if
-one edit of a word (change, insertion or deletion) makes them equal, and both have
-LEAST words or more; shorter lines are near only if equal. A line goes if a line
-that is near or equal comes earlier, by doc_id and place; lines are judged on the
+Lines are sequences of units: words (space and 0x09-0x0D part them) if there are LEAST or more, else the characters of
+the words with a space between them. Two lines are near if
+one edit of a unit (change, insertion or deletion) makes them equal, their units are of one kind, and both have
+LEAST words or FINE_LEAST characters; lines of fewer are near only if equal, as an edit is too large a part of them.
+A line goes if a line that is near or equal comes earlier, by doc_id and place; lines are judged on the
 input, so a line that goes still counts as earlier.
 
 Equal lines become one, with their first place. Of two near lines, one half (the
-first or the last floor(n / 2) words) is the same; lines that share no half with
-another line have no near one. For the rest, every variant with one word left out is
+first or the last floor(n / 2) units) is the same; lines that share no half with
+another line have no near one. For the rest, every variant with one unit left out is
 emitted as a hashed key, next to the line itself; equal keys join. Near lines
 are those with equal keys and the same place left out (a change) or none in one of
 them (an insertion), so each key and place needs its earliest line only and a
-group of any size gives one comparison a line. The words of each such pair are then
+group of any size gives one comparison a line. The units of each such pair are then
 compared.
 
 Defined cases: a null text has no lines and stays null; lines without words are never
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import shared
 
-LEAST = 8
+#: Words of a line whose units are words, and characters of one whose units are these.
+LEAST, FINE_LEAST = 8, 16
 SOLID = r"[^\x20\x09-\x0D]"
 
 
@@ -36,28 +38,33 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
-def _halves(n: str, words: str) -> str:
-    """Hashes of the leading and trailing halves; of both lengths that a line one word longer or shorter has."""
+def _units(words: Column, least: int) -> Column:
+    """The words, or the characters of a line that has few."""
+    return F.when(F.size(words) >= least, words).otherwise(F.split(F.array_join(words, " "), ""))
+
+
+def _halves(n: str, words: str, fine: str) -> str:
+    """Hashes of the leading and trailing halves; of both lengths that a line one unit longer or shorter has."""
     sizes = [f"({n} div 2)", f"(({n} - 1) div 2)"]
-    first = [f"xxhash64('first', {h}, slice({words}, 1, cast({h} as int)))" for h in sizes]
-    last = [f"xxhash64('last', {h}, slice({words}, cast({n} - {h} + 1 as int), cast({h} as int)))" for h in sizes]
+    first = [f"xxhash64('first', {fine}, {h}, slice({words}, 1, cast({h} as int)))" for h in sizes]
+    last = [f"xxhash64('last', {fine}, {h}, slice({words}, cast({n} - {h} + 1 as int), cast({h} as int)))" for h in sizes]
     return f"array_distinct(array({', '.join(first + last)}))"
 
 
 def line_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, rid, at, line, check, n, halves) of all lines with words; line and check are hashes of the words."""
+    """(doc_id, rid, at, line, check, halves) of all lines with words; line and check are hashes of the words."""
     # no filter on words, here or inferred from the generator: it would split each line once more
     lines = docs.select("doc_id", "rid", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "raw")).filter(F.col("raw").rlike(SOLID))
     lines = lines.select("doc_id", "rid", "at", _words(F.col("raw")).alias("w"))
-    lines = lines.select("doc_id", "rid", "at", F.xxhash64("w").alias("line"), F.hash("w").alias("check"), F.size("w").alias("n"), "w")
-    halves = F.when(F.col("n") >= least, F.expr(_halves("n", "w")))
-    return lines.select("doc_id", "rid", "at", "line", "check", "n", halves.alias("halves"))
+    lines = lines.select("doc_id", "rid", "at", F.xxhash64("w").alias("line"), F.hash("w").alias("check"), (F.size("w") < least).alias("fine"), _units(F.col("w"), least).alias("u"))
+    halves = F.expr(f"if(size(u) >= if(fine, {FINE_LEAST}, {least}), {_halves('size(u)', 'u', 'fine')}, null)")
+    return lines.select("doc_id", "rid", "at", "line", "check", halves.alias("halves"))
 
 
 def near_lines(live: DataFrame) -> DataFrame:
-    """Those `first` of live (first, w: the words) that have an earlier near line; `first` names a line."""
-    # words as numbers, so that a variant is a hash of numbers
-    numbered = live.select("first", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    """Those `first` of live (first, fine, w: the units, characters if fine) that have an earlier near line; `first` names a line."""
+    # units as numbers, so that a variant is a hash of numbers
+    numbered = live.select("first", F.expr("transform(w, x -> xxhash64(fine, x))").alias("h"))
     left_out = "transform(sequence(1, size(h)), i -> struct(i as place, xxhash64(concat(slice(h, 1, i - 1), slice(h, i + 1, size(h)))) as key))"
     variants = numbered.select("first", F.explode(F.expr(f"concat(array(struct(0 as place, xxhash64(h) as key)), {left_out})")).alias("v")).select("first", "v.place", "v.key")
     variants = shared.staged(variants, "variants")  # read twice, and each costs a hash of its line
@@ -71,9 +78,9 @@ def near_lines(live: DataFrame) -> DataFrame:
     two = variants.join(by_place, ["key", "place"]).select("first", "place", "mate")
     pairs = one.unionByName(two).filter("mate is not null and mate.first < first").distinct()
 
-    both = pairs.join(live, "first").join(live.select(F.col("first").alias("m"), F.col("w").alias("m_w")), F.col("mate.first") == F.col("m"))
+    both = pairs.join(live, "first").join(live.select(F.col("first").alias("m"), F.col("fine").alias("m_fine"), F.col("w").alias("m_w")), F.col("mate.first") == F.col("m"))
     without = lambda w, i: f"if({i} = 0, {w}, concat(slice({w}, 1, {i} - 1), slice({w}, {i} + 1, size({w}))))"
-    return both.filter(F.expr(f"{without('w', 'place')} = {without('m_w', 'mate.place')}")).select("first").distinct()
+    return both.filter("fine = m_fine").filter(F.expr(f"{without('w', 'place')} = {without('m_w', 'mate.place')}")).select("first").distinct()
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -88,7 +95,8 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     wanted = live.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid")).agg(F.collect_list("first").alias("firsts"))
     texts = docs.join(wanted, ["doc_id", "rid"]).select(F.split("text", "\n", -1).alias("all"), F.explode("firsts").alias("first"))
-    texts = shared.staged(texts.select("first", _words(F.expr("all[first.at]")).alias("w")), "texts")
+    texts = texts.select("first", _words(F.expr("all[first.at]")).alias("w"))
+    texts = shared.staged(texts.select("first", (F.size("w") < least).alias("fine"), _units(F.col("w"), least).alias("w")), "texts")
 
     near = near_lines(texts).select("first", F.lit(True).alias("near"))
     known = distinct.select("line", "check", "first", "times").join(near, "first", "left").filter("times > 1 or near")

@@ -35,11 +35,15 @@ LINE_DEDUP = rf"""
 WITH l AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, raw, regexp_extract_all(raw, '{WORD}') AS ws, array_to_string(regexp_extract_all(raw, '{WORD}'), ' ') AS line FROM l),
 f AS (SELECT line, any_value(ws) AS ws, min((doc_id, pos)) AS first FROM w WHERE len(ws) > 0 GROUP BY line),
-v AS (SELECT line, first, i, array_to_string(list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, len(ws))), ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM f WHERE len(ws) >= 8)),
+u AS (
+  SELECT line, first, 'w ' AS kind, ws AS us FROM f WHERE len(ws) >= 8
+  UNION ALL SELECT line, first, 'c ', list_transform(range(1, length(line) + 1), lambda i: substring(line, i, 1)) FROM f WHERE len(ws) < 8 AND length(line) >= 16),
+rest AS (SELECT line, first, kind, i, list_concat(list_slice(us, 1, i - 1), list_slice(us, i + 1, len(us))) AS us FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM u)),
+v AS (SELECT line, first, i, kind || CASE kind WHEN 'w ' THEN array_to_string(us, ' ') ELSE array_to_string(us, '') END AS k FROM rest),
 near AS (
   SELECT line FROM (SELECT line, first, min(first) OVER (PARTITION BY k, i) AS earliest FROM v) WHERE earliest < first
-  UNION SELECT v.line FROM v JOIN f ON f.line = v.k AND len(f.ws) >= 8 WHERE f.first < v.first
-  UNION SELECT f.line FROM v JOIN f ON f.line = v.k AND len(f.ws) >= 8 WHERE v.first < f.first),
+  UNION SELECT v.line FROM v JOIN u ON u.kind || u.line = v.k WHERE u.first < v.first
+  UNION SELECT u.line FROM v JOIN u ON u.kind || u.line = v.k WHERE v.first < u.first),
 judged AS (SELECT w.doc_id, w.pos, w.raw, len(w.ws) > 0 AS solid, len(w.ws) > 0 AND (f.first <> (w.doc_id, w.pos) OR near.line IS NOT NULL) AS gone
   FROM w LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
 kept AS (SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, false)) AS text FROM judged GROUP BY doc_id)

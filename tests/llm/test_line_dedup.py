@@ -13,8 +13,13 @@ CASES = [
 def near(a, b):
     if a == b:
         return True
-    if min(len(a), len(b)) < line_dedup.LEAST:
+    fine = len(a) < line_dedup.LEAST
+    if fine != (len(b) < line_dedup.LEAST):
         return False
+    if fine:
+        a, b = " ".join(a), " ".join(b)
+        if min(len(a), len(b)) < line_dedup.FINE_LEAST:
+            return False
     a, b = sorted((a, b), key=len)
     i = 0
     while i < len(a) and a[i] == b[i]:
@@ -29,9 +34,10 @@ def brute(rows):
         for p, line in enumerate((t or "").split("\n")):
             if w := split(line):
                 first[w] = min(first.get(w, (d, p)), (d, p))
+    size = lambda w: (True, len(" ".join(w))) if len(w) < line_dedup.LEAST else (False, len(w))
     for w in first:
-        sizes[len(w)].append(w)
-    bad = {b for n, ws in sizes.items() for b in ws if any(first[a] < first[b] and near(a, b) for m in (n - 1, n, n + 1) for a in sizes.get(m, ()) if a != b)}
+        sizes[size(w)].append(w)
+    bad = {b for (k, n), ws in sizes.items() for b in ws if any(first[a] < first[b] and near(a, b) for m in (n - 1, n, n + 1) for a in sizes.get((k, m), ()) if a != b)}
     out = []
     for d, t in rows:
         n = r = 0
@@ -55,6 +61,16 @@ def test_cases(table):
     assert rows_of(line_dedup.digest(table(CASES))) == brute(CASES)
 
 
+def test_short_lines(table):
+    rows = [
+        (1, "The anhely eran of it."), (2, "The, anhely eran of it."), (3, "The anhely eran of it"), (4, "The anhely eran of ït."), (5, "The anhelyeran of it."), (6, "The anhely  eran\tof it."),
+        (7, "Chapter 1\nChapter 2"), (8, "fifteen letters"), (9, "fifteen lettersx"), (10, "sixteen letters!"), (11, "sixteen letters?"), (12, "abcdefghijklmnopq"), (13, " ".join("abcdefghijklmnopq")),
+        (14, "😀 a face of its own"), (15, "😁 a face of its own"), (16, "a b c d e f gggggggg"), (17, "a b c d e f g ggggggg"),
+    ]
+    got = rows_of(line_dedup.digest(table(rows)))
+    assert got == brute(rows) and [d for d, _, r, _ in got if r] == [2, 3, 4, 5, 6, 11, 15]
+
+
 def test_documents(documents):
     few = documents.filter("doc_id < 120")
     assert rows_of(line_dedup.digest(few)) == brute([tuple(r) for r in few.select("doc_id", "text").collect()])
