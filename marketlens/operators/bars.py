@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,12 @@ def bars(source: DataFrame, unit: str = "HOUR") -> DataFrame:
     )
 
 
-def resampled(hourly: DataFrame, unit: str = "DAY") -> DataFrame:
-    """Coarser bars of finer ones."""
-    return hourly.groupBy("symbol", F.date_trunc(unit, "bucket").cast("timestamp_ntz").alias("to")).agg(
+def resampled(hourly: DataFrame, unit: str = "DAY", hours: int = 0) -> DataFrame:
+    """Coarser bars of finer ones: of a unit, or of so many hours from midnight on."""
+    to = F.date_trunc(unit, "bucket").cast("timestamp_ntz")
+    if hours:
+        to = F.expr(f"cast(date_trunc('DAY', bucket) as timestamp_ntz) + make_dt_interval(0, hour(bucket) div {hours} * {hours})")
+    return hourly.groupBy("symbol", to.alias("to")).agg(
         F.min_by("open", "bucket").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bucket").alias("close"), F.sum("volume").alias("volume"), F.sum("trades").alias("trades")
     ).withColumnRenamed("to", "bucket")
 
@@ -50,9 +55,22 @@ def rolling_range(hourly: DataFrame) -> DataFrame:
     return hourly.select("symbol", "bucket", F.sum("volume").over(by.orderBy(second).rangeBetween(-5 * 3600, 0)).alias("vol_6h"), F.max("high").over(by.orderBy("bucket").rowsBetween(-5, 0)).alias("high_6"))
 
 
+def _sized(hourly: DataFrame) -> DataFrame:
+    """Bars of an hour, of four and of a day with their range in cents."""
+    sizes = {"1h": hourly, "4h": resampled(hourly, hours=4), "1d": resampled(hourly)}
+    every = reduce(DataFrame.unionByName, (bars.withColumn("interval", F.lit(name)) for name, bars in sizes.items()))
+    return every.withColumn("range", cents("high") - cents("low"))
+
+
 def aggregation_sensitivity(source: DataFrame, universe: tuple[str, ...] | None = None) -> DataFrame:
-    """interval, symbol, range_cents, n_bars for bars of an hour and of a day; a null symbol is the total of all."""
+    """interval, symbol, range_cents, n_bars for bars of an hour, of four and of a day; a null symbol is the total of all."""
     hourly = bars(source if universe is None else source.filter(F.col("symbol").isin(*universe)))
-    both = hourly.withColumn("interval", F.lit("1h")).unionByName(resampled(hourly).withColumn("interval", F.lit("1d")))
-    both = both.withColumn("range", cents("high") - cents("low"))
-    return both.groupingSets([("interval", "symbol"), ("interval",)], "interval", "symbol").agg(F.sum("range").alias("range_cents"), F.count(F.lit(1)).alias("n_bars"))
+    return _sized(hourly).groupingSets([("interval", "symbol"), ("interval",)], "interval", "symbol").agg(F.sum("range").alias("range_cents"), F.count(F.lit(1)).alias("n_bars"))
+
+
+def universe_sensitivity(source: DataFrame) -> DataFrame:
+    """interval, without, mean_range, change: the mean range of a bar in cents over all symbols but one, and how much that differs from the mean over all."""
+    each = _sized(bars(source)).groupBy("interval", "symbol").agg(F.sum("range").alias("r"), F.count(F.lit(1)).alias("n"))
+    total = Window.partitionBy("interval")
+    rest = each.select("interval", F.col("symbol").alias("without"), (F.sum("r").over(total) - F.col("r")).alias("r"), (F.sum("n").over(total) - F.col("n")).alias("n"), (F.sum("r").over(total) / F.sum("n").over(total)).alias("mean")).filter("n > 0")
+    return rest.select("interval", "without", F.round(F.col("r") / F.col("n"), 6).alias("mean_range"), F.round(F.col("r") / F.col("n") - F.col("mean"), 6).alias("change"))

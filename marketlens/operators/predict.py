@@ -12,20 +12,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.operators.features import FEATURES, KEY
+from marketlens.operators.states import split_day
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
+def _assembled(rows: DataFrame, learned: str = "true") -> DataFrame:
+    """rows with `features`, scaled as those rows are that are learned from."""
     wide = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(rows)
-    return StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(wide).transform(wide)
+    return StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(wide.filter(learned)).transform(wide)
 
 
-def label_model(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """symbol, session, label, p_up by a logistic regression on the features of sessions before the last fifth, for all."""
+def _split(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sessions with a state and a label, `up`, and whether they are held out: those of the last fifth of days."""
     rows = features.filter("state is not null").join(labels.filter("label is not null"), KEY).withColumn("up", (F.col("label") > 0).cast("double"))
-    rows = _assembled(rows)
-    ends = rows.agg(F.percentile_approx(F.unix_date("session"), 0.8)).first()[0]
-    model = LogisticRegression(labelCol="up", regParam=0.01, maxIter=50).fit(rows.filter(F.unix_date("session") <= F.lit(ends)))
-    return model.transform(rows).select(*KEY, "label", vector_to_array("probability")[1].alias("p_up"))
+    return rows.join(F.broadcast(split_day(features))).withColumn("held_out", F.col("session") > F.col("until")).drop("until")
+
+
+def label_model(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """symbol, session, label, held_out, p_up by a logistic regression, for all; neither its weights nor the scale of the features see the held-out fifth."""
+    rows = _assembled(_split(features, labels), "not held_out")
+    model = LogisticRegression(labelCol="up", regParam=0.01, maxIter=50).fit(rows.filter("not held_out"))
+    return model.transform(rows).select(*KEY, "label", "held_out", vector_to_array("probability")[1].alias("p_up"))
+
+
+def label_model_quality(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """held_out, n, accuracy, brier, log_loss of label_model, on the sessions that it learned from and on the rest."""
+    rows = label_model(features, labels).withColumn("up", (F.col("label") > 0).cast("double"))
+    right = ((F.col("p_up") >= 0.5).cast("double") == F.col("up")).cast("double")
+    loss = -F.log(F.when(F.col("up") == 1, F.col("p_up")).otherwise(1 - F.col("p_up")))
+    return rows.groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), F.avg((F.col("p_up") - F.col("up")) ** 2).alias("brier"), F.avg(loss).alias("log_loss"))
+
+
+def state_prediction(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """model, n, accuracy, brier on held-out sessions: the share of rises before, of all sessions (`base`) and by state (`state`), smoothed by one of each outcome."""
+    rows = _split(features, labels)
+    known, later = rows.filter("not held_out"), rows.filter("held_out")
+    out = []
+    for model, by in (("base", F.lit("any")), ("state", F.col("state"))):
+        rate = known.groupBy(by.alias("by")).agg(((F.sum("up") + 1) / (F.count(F.lit(1)) + 2)).alias("p"))
+        told = later.withColumn("by", by).join(rate, "by", "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
+        right = ((F.col("p") >= 0.5).cast("double") == F.col("up")).cast("double")
+        out.append(told.agg(F.lit(model).alias("model"), F.count(F.lit(1)).alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg((F.col("p") - F.col("up")) ** 2), 6).alias("brier")))
+    return out[0].unionByName(out[1])
 
 
 def state_mixture(features: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:

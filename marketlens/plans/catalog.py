@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.operators import bars, features, predict, states, structure, volume
 from marketlens.plans.oracles import ORACLES
 from marketlens.sources import inventory
-from marketlens.sources.tables import read_table
+from marketlens.sources.tables import read_table, write_parquet
 
 
 class Stages:
@@ -54,13 +54,14 @@ class Stages:
 
 _BY_NAME: dict[str, Callable[[Stages], DataFrame]] = {
     "table_inventory": lambda s: inventory.table_inventory(s.spark, s.folder),
-    "column_quality": lambda s: inventory.column_quality(s.events, "events"),
+    "column_quality": lambda s: inventory.quality(s.spark, s.folder),
     "ohlcv_hourly": lambda s: s.hourly,
     "ohlcv_resample_daily": lambda s: bars.resampled(s.hourly),
     "vwap_daily": lambda s: bars.vwap_daily(s.ticks),
     "gap_filled_hourly": lambda s: bars.gap_filled(s.hourly),
     "rolling_range": lambda s: bars.rolling_range(s.hourly),
     "aggregation_sensitivity": lambda s: bars.aggregation_sensitivity(s.ticks),
+    "universe_sensitivity": lambda s: bars.universe_sensitivity(s.ticks),
     "volume_profile": lambda s: s.profile,
     "volume_profile_ticks": lambda s: volume.volume_profile_ticks(s.ticks),
     "point_of_control": lambda s: volume.point_of_control(s.profile),
@@ -75,12 +76,16 @@ _BY_NAME: dict[str, Callable[[Stages], DataFrame]] = {
     "market_state": lambda s: s.states,
     "state_transitions": lambda s: states.state_transitions(s.states),
     "markov_order2": lambda s: states.markov_order2(s.states),
+    "markov_chi_square": lambda s: states.markov_chi_square(s.states),
+    "order_likelihood": lambda s: states.order_likelihood(s.states),
     "session_features": lambda s: s.features,
     "next_session_label": lambda s: s.labels,
     "state_up_rate": lambda s: features.state_up_rate(s.states, s.labels),
     "acceptance_outcome": lambda s: features.acceptance_outcome(s.structure, s.labels),
     "feature_corr": lambda s: features.feature_corr(s.features, s.labels),
     "strategy_equity": lambda s: features.strategy_equity(s.states, s.hourly),
+    "state_prediction": lambda s: predict.state_prediction(s.features, s.labels),
+    "label_model_quality": lambda s: predict.label_model_quality(s.features, s.labels),
     "label_model": lambda s: predict.label_model(s.features, s.labels),
     "state_mixture": lambda s: predict.state_mixture(s.features),
     "hidden_states": lambda s: predict.hidden_states(s.features),
@@ -95,4 +100,16 @@ def exported(df: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: lambda spark, folder, build=build: exported(build(Stages(spark, folder))) for name, build in _BY_NAME.items()}
 
-__all__ = ["ORACLES", "QUERIES", "Stages"]
+#: What the commands build, by artifact.
+PROFILES = ("volume_profile", "point_of_control", "value_area", "volume_nodes", "node_zones")
+ARTIFACTS = {"profiles": PROFILES, "features": ("auction_structure", "persistent_nodes", "market_state", "session_features", "next_session_label")}
+
+
+def build(spark: SparkSession, folder: str, out: str, kind: str) -> list[str]:
+    """Writes the artifacts of a kind as Parquet under a folder, one after another, and says which."""
+    for name in ARTIFACTS[kind]:
+        write_parquet(_BY_NAME[name](Stages(spark, folder)), f"{out}/{name}.parquet")
+    return [f"{out}/{name}.parquet" for name in ARTIFACTS[kind]]
+
+
+__all__ = ["ARTIFACTS", "ORACLES", "QUERIES", "Stages", "build"]

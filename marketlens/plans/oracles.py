@@ -52,13 +52,50 @@ STAGES = {
     "learned": "SELECT f.*, label FROM features f JOIN labels_ USING (symbol, session) WHERE state IS NOT NULL AND label IS NOT NULL",
     "cents": "SELECT symbol, session, CAST(round(close * 100) AS BIGINT) AS c, lead(CAST(round(close * 100) AS BIGINT)) OVER (PARTITION BY symbol ORDER BY session) AS next FROM sessions",
     "trades": "SELECT symbol, session, CASE state WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 ELSE 0 END AS position, c, next FROM states JOIN cents USING (symbol, session) WHERE state IS NOT NULL AND next IS NOT NULL",
-    "sized": "SELECT '1h' AS interval, * FROM hourly UNION ALL SELECT '1d', * FROM daily",
+    "fours": """SELECT symbol, date_trunc('day', bucket) + to_hours(hour(bucket) // 4 * 4) AS bucket, arg_min(open, bucket) AS open, max(high) AS high, min(low) AS low,
+        arg_max(close, bucket) AS close, CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(trades) AS BIGINT) AS trades FROM hourly GROUP BY symbol, date_trunc('day', bucket) + to_hours(hour(bucket) // 4 * 4)""",
+    "sized": "SELECT '1h' AS interval, * FROM hourly UNION ALL SELECT '4h', * FROM fours UNION ALL SELECT '1d', * FROM daily",
+    "ranges": "SELECT interval, symbol, CAST(sum(CAST(round(high * 100) AS BIGINT) - CAST(round(low * 100) AS BIGINT)) AS BIGINT) AS r, count(*) AS n FROM sized GROUP BY ALL",
+    "triples": """SELECT symbol, session, state AS s2, lag(state, 1) OVER w AS s1, lag(state, 2) OVER w AS s0 FROM states WHERE state IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY session)""",
+    "cells": "SELECT s0, s1, s2, count(*) AS n FROM triples WHERE s0 IS NOT NULL GROUP BY ALL",
+    "until": "SELECT session AS until FROM (SELECT session, row_number() OVER (ORDER BY session) AS k, count(*) OVER () AS days FROM (SELECT DISTINCT session FROM states)) WHERE k = floor(0.8 * days)",
+    "known": "SELECT t.* FROM triples t, until WHERE s0 IS NOT NULL AND session <= until",
+    "later": "SELECT t.* FROM triples t, until WHERE s0 IS NOT NULL AND session > until",
+    "split": "SELECT l.*, CASE WHEN label > 0 THEN 1.0 ELSE 0.0 END AS up, session > until AS held_out FROM learned l, until",
+    "rates": "SELECT 'base' AS model, 'any' AS by_, (sum(up) + 1) / (count(*) + 2) AS p FROM split WHERE NOT held_out UNION ALL SELECT 'state', state, (sum(up) + 1) / (count(*) + 2) FROM split WHERE NOT held_out GROUP BY state",
+    "told": """SELECT m.model, up, CAST(coalesce(p, 0.5) AS DOUBLE) AS p FROM (SELECT 'base' AS model, 'any' AS by_, up FROM split WHERE held_out UNION ALL SELECT 'state', state, up FROM split WHERE held_out) m LEFT JOIN rates r ON r.model = m.model AND r.by_ = m.by_""",
     "hours": "SELECT symbol, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM hourly GROUP BY symbol",
 }
 
+# The tables' columns by kind: n numbers, t times, s texts, a arrays.
+COLUMNS = {
+    "region": "r_regionkey:n r_name:s",
+    "nation": "n_nationkey:n n_name:s n_regionkey:n",
+    "customer": "c_custkey:n c_name:s c_nationkey:n c_acctbal:n c_mktsegment:s",
+    "supplier": "s_suppkey:n s_name:s s_nationkey:n s_acctbal:n",
+    "part": "p_partkey:n p_name:s p_brand:s p_type:s p_size:n p_retailprice:n",
+    "orders": "o_orderkey:n o_custkey:n o_orderstatus:s o_totalprice:n o_orderdate:t o_orderpriority:s",
+    "lineitem": "l_orderkey:n l_partkey:n l_suppkey:n l_linenumber:n l_quantity:n l_extendedprice:n l_discount:n l_tax:n l_returnflag:s l_linestatus:s l_shipdate:t",
+    "events": "event_id:n ts:t user_id:n event_type:s value:n props:s",
+    "documents": "doc_id:n text:s lang:s source:s n_chars:n",
+    "embeddings": "vec_id:n embedding:a label:n",
+    "pages": "page_id:n url:s html:s",
+    "benchmark": "item_id:n text:s",
+    "labels": "doc_id:n quality:n toxic:n",
+    "conversations": "conv_id:n turn:n role:s text:s",
+}
+
+
+def _quality(table: str, column: str, kind: str) -> str:
+    number = {"n": f"CAST({{}}({column}) AS DOUBLE)", "t": f"CAST(epoch_us({{}}({column})) AS DOUBLE)"}.get(kind, "CAST(NULL AS DOUBLE)")
+    text = f"{{}}({column})" if kind == "s" else "CAST(NULL AS VARCHAR)"
+    ends = ", ".join(f"{x.format(f)} AS {f}_{name}" for name, x in (("number", number), ("text", text)) for f in ("min", "max"))
+    return f"SELECT '{table}' AS name, '{column}' AS \"column\", count(*) - count({column}) AS n_null, count(DISTINCT {column}) AS n_distinct, {ends} FROM {table}"
+
+
 FINAL = {
     "table_inventory": " UNION ALL ".join(f"SELECT 'public' AS schema, '{t}' AS name, count(*) AS row_count FROM {t}" for t in TABLES),
-    "column_quality": " UNION ALL ".join(f"SELECT 'events' AS name, '{c}' AS \"column\", count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")),
+    "column_quality": " UNION ALL ".join(_quality(t, *c.split(":")) for t, columns in COLUMNS.items() for c in columns.split()),
     "ohlcv_hourly": "SELECT * FROM hourly",
     "ohlcv_resample_daily": "SELECT * FROM daily",
     "vwap_daily": "SELECT symbol, CAST(ts AS DATE) AS session, CAST(sum(CAST(round(price * 100) AS BIGINT) * volume) AS BIGINT) AS cents_volume, CAST(sum(volume) AS BIGINT) AS volume FROM ticks GROUP BY ALL",
@@ -87,6 +124,17 @@ FINAL = {
         SELECT state, next_state, count(*) AS n FROM pairs WHERE next_state IS NOT NULL GROUP BY ALL)""",
     "markov_order2": """SELECT s0, s1, s2, count(*) AS n FROM (SELECT state AS s0, lead(state, 1) OVER w AS s1, lead(state, 2) OVER w AS s2 FROM states WHERE state IS NOT NULL
         WINDOW w AS (PARTITION BY symbol ORDER BY session)) WHERE s2 IS NOT NULL GROUP BY ALL""",
+    "universe_sensitivity": """SELECT interval, symbol AS without, round((t - r) / CAST(m - n AS DOUBLE), 6) AS mean_range, round((t - r) / CAST(m - n AS DOUBLE) - t / CAST(m AS DOUBLE), 6) AS change
+        FROM (SELECT *, sum(r) OVER (PARTITION BY interval) AS t, sum(n) OVER (PARTITION BY interval) AS m FROM ranges) WHERE m > n""",
+    "markov_chi_square": """SELECT s1, CAST(t AS BIGINT) AS n, round(sum((coalesce(c.n, 0) - a * b / CAST(t AS DOUBLE)) ** 2 / (a * b / CAST(t AS DOUBLE))), 6) AS chi2, CAST(dof AS BIGINT) AS dof
+        FROM (SELECT s1, s0, sum(n) AS a FROM cells GROUP BY ALL) JOIN (SELECT s1, s2, sum(n) AS b FROM cells GROUP BY ALL) USING (s1)
+        JOIN (SELECT s1, sum(n) AS t, (count(DISTINCT s0) - 1) * (count(DISTINCT s2) - 1) AS dof FROM cells GROUP BY s1) USING (s1) LEFT JOIN cells c USING (s0, s1, s2) GROUP BY s1, t, dof""",
+    "order_likelihood": " UNION ALL ".join(
+        f"""SELECT 'order {k}' AS model, count(*) AS n, round(avg(ln((coalesce(b, 0) + 1) / CAST(coalesce(a, 0) + 3 AS DOUBLE))), 6) AS log_likelihood FROM later l
+        LEFT JOIN (SELECT {c} s2, count(*) AS b FROM known GROUP BY ALL) x ON x.s2 = l.s2 {on.format('x')} LEFT JOIN (SELECT {c} count(*) AS a FROM known {'GROUP BY ALL' if k else ''}) y ON true {on.format('y')}"""
+        for k, (c, on) in enumerate((("", ""), ("s1,", "AND {0}.s1 = l.s1"), ("s0, s1,", "AND {0}.s1 = l.s1 AND {0}.s0 = l.s0")))
+    ),
+    "state_prediction": "SELECT model, count(*) AS n, round(avg(CASE WHEN (p >= 0.5) = (up = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg((p - up) ** 2), 6) AS brier FROM told GROUP BY model",
     "session_features": "SELECT * FROM features",
     "next_session_label": "SELECT * FROM labels_",
     "state_up_rate": "SELECT state, count(*) AS n, count(*) FILTER (label > 0) AS n_up, round(count(*) FILTER (label > 0) / count(*), 6) AS p_up FROM learned GROUP BY state",
@@ -110,7 +158,7 @@ def needed(sql: str) -> list[str]:
     while todo:
         text = todo.pop()
         for name, body in STAGES.items():
-            if name not in want and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+            if name not in want and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
                 want.add(name)
                 todo.append(body)
     return [name for name in STAGES if name in want]

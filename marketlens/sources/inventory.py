@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.sources.tables import TABLES, read_table
 
@@ -37,8 +38,21 @@ def build_inspection_report(database: str, table_rows: list[tuple[str, str, int]
 
 
 def column_quality(df: DataFrame, name: str) -> DataFrame:
-    """name, column, n_null, n_distinct of every column, in one pass over the table."""
-    columns = df.columns
-    wide = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(f"n_{i}") for i, c in enumerate(columns)], *[F.countDistinct(c).alias(f"d_{i}") for i, c in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"n_{i}"), F.lit(0).cast("bigint")).alias("n_null"), F.col(f"d_{i}").alias("n_distinct")) for i, c in enumerate(columns)])
-    return wide.select(F.lit(name).alias("name"), F.inline(rows))
+    """name, column, n_null, n_distinct, min_number, max_number (of numbers, and times in microseconds), min_text, max_text of every column, in one pass over the table."""
+    wanted, entries = [], []
+    for i, field in enumerate(df.schema):
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        # of texts, hashes are counted: the texts themselves needn't travel
+        key = F.when(c.isNotNull(), F.struct(F.xxhash64(c), F.hash(c), F.octet_length(c))) if isinstance(kind, T.StringType) else c
+        number = c.cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(c.cast("timestamp")).cast("double") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(None).cast("double")
+        text = c if isinstance(kind, T.StringType) else F.lit(None).cast("string")
+        wanted += [F.sum(c.isNull().cast("bigint")).alias(f"n_{i}"), F.countDistinct(key).alias(f"d_{i}")]
+        wanted += [f(x).alias(f"{f.__name__}_{kind}_{i}") for kind, x in (("number", number), ("text", text)) for f in (F.min, F.max)]
+        cell = [F.lit(field.name).alias("column"), F.coalesce(F.col(f"n_{i}"), F.lit(0).cast("bigint")).alias("n_null"), F.col(f"d_{i}").alias("n_distinct")]
+        entries.append(F.struct(*cell, *[F.col(f"{f}_{kind}_{i}").alias(f"{f}_{kind}") for kind in ("number", "text") for f in ("min", "max")]))
+    return df.agg(*wanted).select(F.lit(name).alias("name"), F.inline(F.array(*entries)))
+
+
+def quality(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> DataFrame:
+    """The columns of all tables."""
+    return reduce(DataFrame.unionByName, (column_quality(read_table(spark, folder, n), n) for n in names))

@@ -26,11 +26,23 @@ def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def table_exists(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether a table's file or folder is there, in any file system of Spark's."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def load_tables(spark: SparkSession, folder: str, target: str, names: tuple[str, ...] = TABLES) -> str:
+    """Copies the tables of a folder to another, which then reads like the first; all must be there."""
+    require_tables(spark, folder, names)
+    for name in names:
+        write_parquet(read_table(spark, folder, name), f"{target}/{name}.parquet")
+    return f"Tables loaded: {target}"
+
+
 def require_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> str:
-    """A line that says the tables are there; FileNotFoundError names the first that is not. Any file system of Spark's will do."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """A line that says the tables are there; FileNotFoundError names the first that is not."""
     for name in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-        if not path.getFileSystem(conf).exists(path):
+        if not table_exists(spark, folder, name):
             raise FileNotFoundError(f"Expected table at {folder}/{name}.parquet")
     return f"Tables ready: {folder}"

@@ -120,3 +120,50 @@ def test_stream_equals_batch_on_closed_hours(spark, data, tmp_path):
     got = spark.table("bars_out")
     batch = bars.bars(bars.ticks(events))
     assert got.count() > 0.8 * batch.count() and got.exceptAll(batch).count() == 0
+
+
+def test_bars_of_four_hours(spark):
+    hourly = bars.bars(ticks(spark, [(0, 1, 5.0, 1), (170, 2, 7.0, 1), (185, 3, 6.0, 1), (300, 4, 4.0, 1)]))  # from nine on
+    got = [(r.bucket.hour, r.open, r.close, r.volume, r.trades) for r in bars.resampled(hourly, hours=4).orderBy("bucket").collect()]
+    assert got == [(8, 5.0, 7.0, 2, 2), (12, 6.0, 4.0, 2, 2)]
+
+
+def chain(spark, states, symbol="A"):
+    days = [(symbol, dt.date(2024, 1, 1) + dt.timedelta(days=i), s) for i, s in enumerate(states)]
+    return spark.createDataFrame(days, "symbol string, session date, state string")
+
+
+def test_chi_square_by_hand(spark):
+    rng = np.random.default_rng(1)
+    names = ["UP", "DOWN", "BALANCE"]
+    seq = [names[i] for i in rng.integers(0, 3, 200)]
+    want = {}
+    for s1 in names:
+        n = np.array([[sum(t == (a, s1, b) for t in zip(seq, seq[1:], seq[2:])) for b in names] for a in names], float)
+        e = np.outer(n.sum(1), n.sum(0)) / n.sum()
+        want[s1] = (int(n.sum()), pytest.approx(((n - e) ** 2 / e).sum(), abs=1e-5), 4)
+    got = {r.s1: (r.n, r.chi2, r.dof) for r in states.markov_chi_square(chain(spark, seq)).collect()}
+    assert got == want
+
+
+def test_chains_of_higher_order_tell_what_has_memory(spark):
+    seq = ["UP", "UP", "DOWN", "DOWN"] * 60  # the two states before say all, one says nothing
+    got = {r.model: r.log_likelihood for r in states.order_likelihood(chain(spark, seq)).collect()}
+    assert got["order 2"] > -0.1 and got["order 1"] < -0.6 and got["order 0"] < -0.6
+    assert states.split_day(chain(spark, seq[:10])).first().until == dt.date(2024, 1, 8)
+
+
+def test_held_out_sessions_are_not_learned_from(spark, stages):
+    cut = states.split_day(stages.features).first().until
+    turned = stages.features.withColumn("va_width", F.when(F.col("session") > F.lit(cut), F.col("va_width") * 1000).otherwise(F.col("va_width")))
+    a, b = ({(r.symbol, r.session): r.p_up for r in predict.label_model(x, stages.labels).filter("not held_out").collect()} for x in (stages.features, turned))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_universes_without_a_symbol(stages):
+    whole = {(r.interval, r.symbol): (r.range_cents, r.n_bars) for r in bars.aggregation_sensitivity(stages.ticks).collect()}
+    for r in bars.universe_sensitivity(stages.ticks).collect():
+        rest = bars.aggregation_sensitivity(stages.ticks, tuple(s for i, s in whole if i == r.interval and s not in (None, r.without))) if r.interval == "4h" else None
+        if rest is not None:
+            total = rest.filter("symbol is null and interval = '4h'").first()
+            assert r.mean_range == pytest.approx(total.range_cents / total.n_bars, abs=1e-5)

@@ -34,7 +34,12 @@ def test_same_rows_as_the_oracle(spark, data, oracle, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"label_model_quality"}))
 def test_models_give_a_row_a_session(spark, data, name):
     rows = QUERIES[name](spark, data).collect()
     assert rows and len({(r.symbol, r.session) for r in rows}) == len(rows)
+
+
+def test_a_model_is_judged_on_what_it_has_not_seen(spark, data):
+    rows = {r.held_out: r for r in QUERIES["label_model_quality"](spark, data).collect()}
+    assert set(rows) == {False, True} and all(r.n > 0 and 0 <= r.accuracy <= 1 and 0 <= r.brier <= 1 and r.log_loss > 0 for r in rows.values())

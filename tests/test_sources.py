@@ -1,6 +1,7 @@
 import pytest
 
 from marketlens import __main__ as cli
+from marketlens.plans import catalog
 from marketlens.sources import inventory, tables
 
 ROWS = [("public", "orders", 123), ("public", "trades", 0)]
@@ -30,7 +31,7 @@ def test_inventory_and_cli(spark, data, capsys):
     rows = {r.name: r.row_count for r in inventory.table_inventory(spark, data).collect()}
     assert rows["region"] == 5 and len(rows) == len(tables.TABLES)
     lines = cli.inspect(spark, data)
-    assert "Table count: 14" in lines and not any("postgres:postgres@" in x for x in lines)
+    assert "Table count: 14" in lines and "Expected tables exist: True" in lines and not any("postgres:postgres@" in x for x in lines)
     assert tables.require_tables(spark, data) == f"Tables ready: {data}"
     with pytest.raises(FileNotFoundError, match="Expected table at"):
         tables.require_tables(spark, data, ("absent",))
@@ -38,7 +39,11 @@ def test_inventory_and_cli(spark, data, capsys):
 
 def test_column_quality(spark):
     df = spark.createDataFrame([(1, None), (1, "a"), (None, "b")], "x int, y string")
-    assert [tuple(r) for r in inventory.column_quality(df, "t").collect()] == [("t", "x", 1, 1), ("t", "y", 1, 2)]
+    assert [tuple(r) for r in inventory.column_quality(df, "t").collect()] == [("t", "x", 1, 1, 1.0, 1.0, None, None), ("t", "y", 1, 2, None, None, "a", "b")]
+    empty = inventory.column_quality(df.filter("x > 1"), "t").collect()
+    assert [(r.column, r.n_null, r.n_distinct, r.min_number, r.max_text) for r in empty] == [("x", 0, 0, None, None), ("y", 0, 0, None, None)]
+    odd = spark.sql("select array(1, 2) as `a.b`, timestamp_ntz'2024-01-01 00:00:01' as at, date'1970-01-02' as day")
+    assert [(r.column, r.n_distinct, r.min_number) for r in inventory.column_quality(odd, "t").collect()] == [("a.b", 1, None), ("at", 1, 1704067201e6), ("day", 1, 86400e6)]
 
 
 def test_jdbc_round_trip(spark, data):
@@ -56,3 +61,28 @@ def test_export(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     tables.write_parquet(df, str(tmp_path / "out"), ("k",))
     assert spark.read.parquet(str(tmp_path / "out")).filter("k = 'b'").first().v == 2
+
+
+def test_inspection_of_a_folder_that_lacks_tables(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/region.parquet")
+    lines = cli.inspect(spark, str(tmp_path))
+    assert "Table count: 1" in lines and "Expected tables exist: False" in lines and "  public.region: 3 rows" in lines
+    assert "Table count: 0" in cli.inspect(spark, f"{tmp_path}/none")
+
+
+def test_restore_loads_the_tables(spark, data, tmp_path):
+    some = ("region", "labels")
+    assert tables.load_tables(spark, data, str(tmp_path / "to"), some) == f"Tables loaded: {tmp_path}/to"
+    for name in some:
+        assert tables.read_table(spark, str(tmp_path / "to"), name).exceptAll(tables.read_table(spark, data, name)).isEmpty()
+    with pytest.raises(FileNotFoundError):
+        tables.load_tables(spark, str(tmp_path), str(tmp_path / "no"), some)
+
+
+def test_commands_build_artifacts(spark, data, tmp_path, capsys):
+    for kind in catalog.ARTIFACTS:
+        made = catalog.build(spark, data, str(tmp_path), kind)
+        assert len(made) == len(catalog.ARTIFACTS[kind]) and all(spark.read.parquet(p).count() > 0 for p in made)
+    for wrong in ([], ["profiles", data], ["inspect"], ["build", "a", "b"]):
+        with pytest.raises(SystemExit):
+            cli.main(wrong)
