@@ -137,3 +137,18 @@ def test_the_models_grow_with_the_corpus(table, spark):
     want = dict(zip((d for d, _ in rows), brute(rows, good, vocabulary)))
     for r in lm_score.cross_entropy_difference(table(rows), spark.createDataFrame(list(good.items()), "doc_id long, quality int")).collect():
         assert [r.background_loss, r.target_loss] == pytest.approx(want[r.doc_id], abs=1e-9)
+
+
+def test_held_out_rows_of_the_table(spark, data):
+    from pathlib import Path
+
+    larger = Path(data).parent / "sf0.1"
+    if not larger.exists():
+        pytest.skip("no larger table")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 5 = 0 and toxic in (0, 1)")
+    rows = toxicity.score(held, toxicity.fit(docs, labels), ["toxic"]).collect()
+    bad, good = (np.array([r.score for r in rows if r.toxic == k]) for k in (1, 0))
+    assert len(bad) > 50 and len(good) > 500
+    auc = np.mean([(b > good).mean() + 0.5 * (b == good).mean() for b in bad])
+    assert auc > 0.93 and sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.93
