@@ -65,8 +65,9 @@ def near_lines(live: DataFrame) -> DataFrame:
     """Those `first` of live (first, fine, w: the units, characters if fine) that have an earlier near line; `first` names a line."""
     # units as numbers, so that a variant is a hash of numbers
     numbered = live.select("first", F.expr("transform(w, x -> xxhash64(fine, x))").alias("h"))
-    left_out = "transform(sequence(1, size(h)), i -> struct(i as place, xxhash64(concat(slice(h, 1, i - 1), slice(h, i + 1, size(h)))) as key))"
-    variants = numbered.select("first", F.explode(F.expr(f"concat(array(struct(0 as place, xxhash64(h) as key)), {left_out})")).alias("v")).select("first", "v.place", "v.key")
+    # a row a place, 0 for the line itself: hashed one by one in generated code, which the same within an array would not be
+    places = numbered.select("first", "h", F.explode_outer(F.expr("sequence(0, size(h))")).alias("place"))
+    variants = places.select("first", "place", F.expr("xxhash64(slice(h, 1, greatest(place - 1, 0)), slice(h, place + 1, size(h)))").alias("key"))
     variants = shared.staged(variants, "variants")  # read twice, and each costs a hash of its line
     twice = variants.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("key")
     variants = shared.staged(variants.join(twice, "key"), "equal")
