@@ -1,7 +1,7 @@
 """Cross-entropy difference of two matched n-gram models over one vocabulary.
 
 The target model counts the documents labelled as good, the background model all
-documents. Both are interpolated word bigram models of real words and word pairs, by 64-bit
+documents. Both are interpolated word bigram models of real words and word pairs, by 56-bit
 hashes, so the models grow with the corpus and the counts cover every
 document. They are matched: the background's counts are weighed by the target's tokens over its own,
 so that both weigh as many tokens against the same PRIOR, and the difference doesn't tell how much text either saw.
@@ -37,6 +37,10 @@ from marketlens.llm.textops import BASE, IMAGE, LOWER, WORD_BASE, Texts, mix, pa
 
 LEAST_WORDS = 1 << 17
 PRIOR = 2.0
+#: Bits of a hash that don't travel: 56 tell the n-grams of any corpus apart but for some in a million.
+SHIFT = np.uint64(8)
+#: Text of a group, and text whose n-grams one judge gets; counts are wider than hashes alone.
+GROUP_BYTES, JUDGE_BYTES = 2 << 20, 8 << 20
 _U = np.uint64
 
 SENT = "judge int, p int, words binary, word_counts binary, word_targets binary, pairs binary, pair_counts binary, pair_targets binary"
@@ -45,13 +49,14 @@ SCORES = "doc_id long, n_tokens long, background_loss double, target_loss double
 
 
 def ngrams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, pair, context, first token of each text and the end), as 64-bit hashes; a text's first word follows the boundary, the hash 0."""
+    """(word, pair, context, first token of each text and the end), as hashes; a text's first word follows the boundary, the hash 0."""
     start, end, at = texts.words()
     word = span_hashes(IMAGE[LOWER[texts.data]], start, end, BASE)
     context = np.zeros(len(word), np.uint64)
     context[1:] = word[:-1]
     context[at[:-1][np.diff(at) > 0]] = 0
-    return word, mix((context * WORD_BASE) ^ word), context, at
+    short = lambda x: x >> SHIFT << SHIFT
+    return short(word), short(mix((context * WORD_BASE) ^ word)), short(context), at
 
 
 class Group:
@@ -88,7 +93,7 @@ def _send(judges: int):
                 row = []
                 for hashes, count, marked, cuts in sides:
                     a, b = cuts[j], cuts[j + 1]
-                    row += [pack_sorted(hashes[a:b]), pack_numbers(count[a:b]), pack_numbers(marked[a:b])]
+                    row += [pack_sorted(hashes[a:b] >> SHIFT), pack_numbers(count[a:b]), pack_numbers(marked[a:b])]
                 rows.append((j, key[0].as_py(), *row))
         return pa.Table.from_batches([exchange.batch(rows, SENT)])
 
@@ -155,8 +160,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, column: str = "
     """doc_id, n_tokens, background_loss, target_loss (means a token) and difference of every document; the target are those whose label is 1."""
     good = labels.filter(f"{column} is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias("least")).filter("least = 1")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n, groups = partitions(docs.sparkSession), exchange.number_of_groups(rows)
-    judges = exchange.number_of_judges(n, groups)
+    n, groups = partitions(docs.sparkSession), exchange.number_of_groups(rows, GROUP_BYTES)
+    judges = max(n, groups * GROUP_BYTES // JUDGE_BYTES)
     place = lambda key: F.pmod(F.xxhash64(F.lit(11), key), F.lit(groups)).cast("int")
     # rows without an id are dealt by their texts
     dealt = rows.withColumn("p", place(F.coalesce("doc_id", F.xxhash64("text")))).repartition(n, "p").groupBy("p")
