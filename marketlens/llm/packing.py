@@ -20,6 +20,7 @@ columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from marketlens.llm import shared
 
 CAPACITY, GRAIN, END_ID = 4096, 32, 2
-#: Words of a worker's token cache, and bytes of these and their ids; it starts anew beyond either.
-CACHE_WORDS, CACHE_BYTES = 500_000, 32 << 20
-#: Punctuation that a word-level tokenizer of this family cuts off the end of a word, as one run.
-STOPS = ".,;:!?"
+#: Words of each of the two halves of a worker's token cache, and bytes of these and their ids; a half starts anew beyond either.
+CACHE_WORDS, CACHE_BYTES = 300_000, 16 << 20
+#: Punctuation that a word-level tokenizer of this family cuts off the end of a word, as one run. Apostrophes and what special tokens are made of are not among it.
+STOPS = b".,;:!?$#%&*+=/^~@()[]{}-_"
 
 _state: dict = {}
 
@@ -45,59 +46,59 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+class Words(dict):
+    """Ids by word; a word that is missing is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, raw: bytes) -> bytes:
+        ids = self[raw] = self.learn(raw)
+        return ids
+
+
 class WordEncoder:
-    """Ids of words by one tokenizer; each distinct word, and each stem without its stops, is encoded once."""
+    """Ids of words by one tokenizer; each distinct word, with its stem and its stops as words of their own, is encoded once, and again if it was long unseen."""
 
     def __init__(self, path: str, width: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.width = Tokenizer.from_file(path), width
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.tok, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[np.dtype(width).itemsize]
         self.letters = _byte_letters()
+        self.words, self.older = Words(self.learn), {}
         self.weight = 0
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-
-    def stem(self, text: str) -> bytes | None:
-        """Ids of letters that the tokenizer keeps together, by its model alone, for Latin letters; None of others, which it may not keep apart from what follows."""
-        got = self.stems.get(text)
-        if got is None:
-            if text.isascii():
-                low = text.lower()
-            elif max(text) < "\u0250" and (low := self.tok.normalizer.normalize_str(text)).isalpha():
-                low = "".join([self.letters[b] for b in low.encode()])
+    def letters_of(self, stem: str) -> str | None:
+        """What the model reads of letters that the tokenizer keeps together, if these are Latin; None of others, which it may not keep apart from what follows."""
+        if stem.isalpha() and max(stem) < "\u0250" and (low := self.tok.normalizer.normalize_str(stem)).isalpha():
+            return "".join([self.letters[b] for b in low.encode()])
+        return None
+
+    def learn(self, raw: bytes) -> bytes:
+        ids = self.older.get(raw)
+        if ids is None:
+            base = raw.rstrip(STOPS)
+            if base.isalpha():  # of ASCII
+                low, key = base.decode().lower(), base.lower()
             else:
-                return None
-            got = self.stems[text] = np.array([t.id for t in self.tok.model.tokenize(low)], self.width).tobytes()
-        return got
-
-    def learn(self, words: set[bytes]) -> None:
-        known, stems = self.words, self.stems
-        for raw in words:
-            word = raw.decode()
-            base = word.rstrip(STOPS)
-            ids = self.stem(base) if base.isalpha() else None
-            if ids is None:
-                ids = self.whole(word)
-            elif base != word:
-                stops = word[len(base) :]
-                if stops not in stems:
-                    stems[stops] = self.whole(stops)
-                ids += stems[stops]
-            known[raw] = ids
-            self.weight += len(raw) + len(ids)
+                low, key = self.letters_of(base.decode()), base
+            if low is None:
+                ids = array(self.code, self.tok.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
+            elif key == raw:
+                ids = array(self.code, [t.id for t in self.tok.model.tokenize(low)]).tobytes()
+            else:  # its letters and its stops are words too
+                ids = self.words[key]
+                if len(base) < len(raw):
+                    ids += self.words[raw[len(base) :]]
+        self.weight += len(raw) + len(ids)
+        return ids
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS or self.weight > CACHE_BYTES:
-            self.words.clear()
-            self.stems.clear()
-            self.weight = 0
-        split = [(t or "").encode().split() for t in texts]
-        self.learn(set().union(*split).difference(self.words))
+        if len(self.words) > CACHE_WORDS or self.weight > CACHE_BYTES:  # what comes again soon is taken over from the older words
+            self.words, self.older, self.weight = Words(self.learn), self.words, 0
         get = self.words.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in split]
+        return [b"".join(map(get, (t or "").encode().split())) + end for t in texts]
 
 
 def encode(texts: list[str | None], path: str, end_id: int = END_ID, width: str = "<u2") -> list[bytes]:

@@ -46,9 +46,9 @@ def test_ids_of_odd_words(tokenizer):
     from tokenizers import Tokenizer
 
     tok, rnd = Tokenizer.from_file(tokenizer), random.Random(3)
-    letters = [*"abcXYZ", *"İıßéÉïñøÀǅŉΣςſﬁ", "\u0301", "\u0307", "\u0345", "\u200d", "\xa0", "\x85", *"中한дЖ", *"0123", *"'’-_<|>", *".,;:!?" * 4]
+    letters = [*"abcXYZ", *"İıßéÉïñøÀǅŉΣςſﬁ", "\u0301", "\u0307", "\u0345", "\u200d", "\xa0", "\x85", *"中한дЖ", *"0123", *"'’-_<|>$#%&*+=/^~@()[]{}", *".,;:!?" * 4]
     words = ["".join(rnd.choices(letters, k=rnd.randrange(1, 7))) for _ in range(100_000)]
-    words += ["".join(rnd.choices("abİïéß", k=rnd.randrange(1, 4))) + "".join(rnd.choices(".,;:!?", k=rnd.randrange(3))) for _ in range(20_000)]
+    words += ["".join(rnd.choices("abİïéß", k=rnd.randrange(1, 4))) + "".join(rnd.choices(packing.STOPS.decode() + "'", k=rnd.randrange(4))) for _ in range(20_000)]
     texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
     for text, got in zip(texts, packing.encode(texts, tokenizer)):
         assert np.frombuffer(got, "<u2").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2], text
@@ -59,7 +59,7 @@ def test_a_cache_of_long_words_starts_anew(tokenizer, monkeypatch):
     encoder = packing.WordEncoder(tokenizer, "<u2")
     for i in range(5):
         encoder.encode([f"{i}" * 900], b"")
-    assert len(encoder.words) <= 2
+    assert len(encoder.words) + len(encoder.older) <= 2
 
 
 def test_rows_that_repeat_or_have_no_id(table, tokenizer):
