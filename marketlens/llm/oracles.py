@@ -51,6 +51,21 @@ SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(coalesce(n_lines, 0) AS BIGINT)
 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+BYTE_REPEATS = """
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win SEMI JOIN twice USING (k)),
+steps AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hit),
+islands AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM steps),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM islands GROUP BY doc_id, island),
+ends AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept FROM ends JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 NEAR_DUPLICATES = rf"""
 WITH RECURSIVE d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 sh AS (
@@ -78,4 +93,4 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op3_block_dedup": BLOCK_DEDUP, "op4_line_dedup": LINE_DEDUP, "op8_minhash": NEAR_DUPLICATES, "op10_top_k": TOP_K}
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op3_block_dedup": BLOCK_DEDUP, "op4_line_dedup": LINE_DEDUP, "op7_suffix_dedup": BYTE_REPEATS, "op8_minhash": NEAR_DUPLICATES, "op10_top_k": TOP_K}
