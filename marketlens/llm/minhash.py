@@ -173,21 +173,21 @@ class Buckets:
     """A judge's keys with the members of each, hubs first; members alone with their key are left out."""
 
     def __init__(self, got: pa.Table, seed: int):
-        parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        lists, list_sizes, members = [], [], 0
-        for k, places, nodes, groups, sizes, known, rare, rare_sizes in zip(*(got.column(c).to_pylist() for c in ("keys", "places", "nodes", "groups", "sizes", "known", "rare", "rare_sizes"))):
+        parts: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+        members = 0
+        for k, places, *about, rare, rare_sizes in zip(*(got.column(c).to_pylist() for c in ("keys", "places", "nodes", "groups", "sizes", "known", "rare", "rare_sizes"))):
             place = np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(2, -1).T).view("<u2").ravel().astype(np.int64)
-            for to, x in zip(parts, [unpack_sorted(k), *(_unplanes(x)[place] for x in (nodes, groups, sizes, known)), place + members]):
+            lists = _unplanes(rare_sizes)
+            for to, x in zip(parts, [unpack_sorted(k), place + members, *map(_unplanes, about), np.frombuffer(rare, "<u4"), lists]):
                 to.append(x)
-            lists.append(np.frombuffer(rare, "<u4"))
-            list_sizes.append(_unplanes(rare_sizes))
-            members += len(list_sizes[-1])
-        keys, *about = (np.concatenate(x) for x in parts)
-        self.rare = np.concatenate(lists)
-        self.rare_at = np.concatenate([[0], np.cumsum(np.concatenate(list_sizes))]).astype(np.int64)
+            members += len(lists)
+        keys, member, nodes, groups, sizes, known, self.rare, lists = map(np.concatenate, parts)
+        self.rare_at = np.concatenate([[0], np.cumsum(lists)]).astype(np.int64)
         _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
         pick = np.flatnonzero(count[which] > 1)
-        keys, (nodes, groups, sizes, known, member) = keys[pick], (x[pick] for x in about)
+        # what is known of members is spread over keys only after those of one member are gone
+        keys, member = keys[pick], member[pick]
+        nodes, groups, sizes, known = (x[member] for x in (nodes, groups, sizes, known))
         # the first is the member that shares most with others, or by a hash that a seed changes
         own = (sizes - known) * 1000 // np.maximum(sizes, 1) if not seed else np.zeros(len(nodes), np.int64)
         order = np.lexsort((mix(nodes.view(np.uint64) + _U(seed) * keys), own, keys))
