@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import by_symbol, cents
@@ -43,10 +43,22 @@ def acceptance_outcome(structure: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("close_loc", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as DuckDB has it: null without pairs, NaN if either side is constant.
+
+    Spark's corr divides by zero there, or, as the means of partitions are merged with rounding, by a trace
+    of variance that a constant hasn't; so the extremes tell what is constant.
+    """
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y)) | (spread == 0)
+    return F.when(constant, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / spread)
+
+
 def feature_corr(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """feature, corr of each with the label, of the sessions that have a state and a label."""
+    """feature, corr of each with the label, of the sessions that have a state and a label; NaN if the feature or the label is constant."""
     rows = features.filter("state is not null").join(labels.filter("label is not null"), KEY)
-    wide = rows.agg(*[F.corr(F.col(c).cast("double"), F.col("label").cast("double")).alias(c) for c in FEATURES])
+    wide = rows.agg(*[correlation(F.col(c).cast("double"), F.col("label").cast("double")).alias(c) for c in FEATURES])
     stacked = f"stack({len(FEATURES)}, {', '.join(f'{c!r}, {c}' for c in FEATURES)}) as (feature, corr)"
     return wide.selectExpr(stacked).select("feature", F.round("corr", 6).alias("corr"))
 

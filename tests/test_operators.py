@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import os
 
 import numpy as np
@@ -167,3 +168,20 @@ def test_universes_without_a_symbol(stages):
         if rest is not None:
             total = rest.filter("symbol is null and interval = '4h'").first()
             assert r.mean_range == pytest.approx(total.range_cents / total.n_bars, abs=1e-5)
+
+
+def test_constants_have_no_correlation(spark):
+    days = [dt.date(2024, 1, d) for d in range(1, 5)]
+    x = spark.createDataFrame([("A", d, 0, k, 1, k, 2 * k, "UP") for k, d in enumerate(days)], "symbol string, session date, poc bigint, va_width bigint, n_hvn bigint, n_lvn bigint, range_bins bigint, state string")
+    labels = lambda *of: spark.createDataFrame(list(zip("A" * 4, days, of)), "symbol string, session date, label int")
+    corr = lambda y: {r.feature: r["corr"] for r in features.feature_corr(x, y).collect()}
+    some = corr(labels(-1, 0, 1, None))
+    assert math.isnan(some["poc"]) and math.isnan(some["n_hvn"]) and {some[c] for c in ("va_width", "n_lvn", "range_bins")} == {1.0}
+    assert all(map(math.isnan, corr(labels(1, 1, 1, 1)).values())) and all(map(math.isnan, corr(labels(1, None, None, None)).values()))
+    assert set(corr(labels(None, None, None, None)).values()) == {None}
+
+
+def test_merged_partitions_leave_a_constant_without_correlation(spark):
+    rows = spark.range(0, 147, 1, 3).select((F.col("id") * 0 + 1).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))  # 49 * (1 / 49) < 1
+    assert 0 < rows.agg(F.stddev_pop("x")).first()[0] < 1e-15
+    assert math.isnan(rows.agg(features.correlation(F.col("x"), F.col("y"))).first()[0]) and math.isnan(rows.agg(features.correlation(F.col("y"), F.col("x"))).first()[0])

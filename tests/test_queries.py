@@ -43,3 +43,15 @@ def test_models_give_a_row_a_session(spark, data, name):
 def test_a_model_is_judged_on_what_it_has_not_seen(spark, data):
     rows = {r.held_out: r for r in QUERIES["label_model_quality"](spark, data).collect()}
     assert set(rows) == {False, True} and all(r.n > 0 and 0 <= r.accuracy <= 1 and 0 <= r.brier <= 1 and r.log_loss > 0 for r in rows.values())
+
+
+def test_constant_features_correlate_as_in_the_oracle(spark, tmp_path):
+    """Larger tables of the same days have their point of control in the lowest bin always."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"""COPY (SELECT k AS event_id, TIMESTAMP '2024-01-01' + to_minutes(20 * k) AS ts, k AS user_id, 'view' AS event_type, CAST(k * k % 7 + (k % 3) * (k // 72 * 5 % 13) AS DOUBLE) AS value, '{{"k": 9}}' AS props
+        FROM range(1440) r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = dict(con.execute(ORACLES["feature_corr"]).fetchall())
+    assert any(map(math.isnan, want.values())) and not all(map(math.isnan, want.values()))
+    assert repr(sorted(map(tuple, QUERIES["feature_corr"](spark, str(tmp_path)).collect()))) == repr(sorted(want.items()))
